@@ -1,6 +1,6 @@
 """Imports every query module, which fills the registry."""
 
-from . import queries_explore, queries_popularity  # noqa: F401
+from . import queries_explore, queries_popularity, queries_text  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
