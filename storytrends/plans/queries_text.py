@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import filters as fl
 from ..operators import terms as te
+from ..session import spread
 from .registry import CORPUS, on_corpus, query
 from .views import STOP, corpus, filtered_words, table, titles, tokenized
 
@@ -286,9 +287,13 @@ PAGE_TEXTS = f"""page_texts AS (
   FROM pages WHERE url <> '' AND url NOT LIKE '%.pdf')"""
 
 
+def _pages(spark, root):
+    return spread(table(spark, root, "pages"), "page_id")
+
+
 @query("webpage_extract", f"WITH {PAGE_TEXTS} SELECT * FROM page_texts")
 def webpage_extract(spark, root):
-    return fl.webpage_extract(table(spark, root, "pages"))
+    return fl.webpage_extract(_pages(spark, root))
 
 
 @query(
@@ -298,4 +303,4 @@ def webpage_extract(spark, root):
         AS outcome, count(*) AS n FROM pages GROUP BY 1""",
 )
 def extract_outcomes(spark, root):
-    return fl.extract_outcomes(table(spark, root, "pages"))
+    return fl.extract_outcomes(_pages(spark, root))

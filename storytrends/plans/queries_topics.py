@@ -166,7 +166,8 @@ def lda_likelihood(spark, root):
 
 @query("word2vec_fit")
 def word2vec_fit(spark, root):
-    model = mo.word2vec_fit(_sentences(spark, root), dim=WORD_DIM)
+    cores = spark.sparkContext.defaultParallelism
+    model = mo.word2vec_fit(_sentences(spark, root), dim=WORD_DIM, partitions=cores)
     return word_vectors_of(model).select("word", vec_norm(F.col("vector")).alias("norm"))
 
 

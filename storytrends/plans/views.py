@@ -11,7 +11,7 @@ from ..functions.text import split_words, title_tokens, token_filter
 from ..operators.filters import webpage_extract
 from ..operators.similarity import group_vector_mean
 from ..operators.terms import count_terms, vocab_index
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 # Function words of the four languages of the documents, of more than three letters.
 STOP = (
@@ -61,7 +61,8 @@ def stories(
 
 def corpus(spark: SparkSession, root: str) -> DataFrame:
     title = F.split_part("text", F.lit("\n"), F.lit(1))
-    return table(spark, root, "documents").select(
+    docs = table(spark, root, "documents").select("doc_id", "lang", "source", "text")
+    return spread(docs, "doc_id").select(
         F.col("doc_id").alias("id"), "lang", "source", title.alias("title"), "text"
     )
 

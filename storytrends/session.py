@@ -75,6 +75,18 @@ def collect_bounded(df: DataFrame, max_rows: int) -> pa.Table | None:
     return table if table.num_rows <= max_rows else None
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash ``df`` by ``key`` over all cores if its scan has fewer partitions than cores.
+
+    A table in one small file is read by one task, which would then do all the text
+    work behind it. A table of many files is left as it is. ``key`` must be unique.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def vector_size(df: DataFrame, vector: str) -> int:
     """Length of the first vector; 0 for an empty frame."""
     row = df.select(F.size(vector)).first()

@@ -46,16 +46,20 @@ def day_name(day: Column) -> Column:
     return F.concat(F.lit("stories-"), F.date_format(day, "yyyy-MMMM-d"))
 
 
-def write_daily(stories: DataFrame, path: str, day: Column, order: Column) -> None:
+def write_daily(
+    stories: DataFrame, path: str, day: Column, order: Column, partitions: int | None = None
+) -> None:
     """Stories as newline JSON in one folder per day, in ``order`` within the day.
 
     Ranges over (day, order) keep the order and split a day too big for one task
-    over several files.
+    over several files. Their number is fixed, so that small ranges are not merged
+    into one task that opens the files of all days in turn.
     """
+    partitions = partitions or int(stories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = stories.columns
     keyed = stories.select(*columns, day.alias("_day"), order.alias("_order"))
     (
-        keyed.repartitionByRange("_day", "_order")
+        keyed.repartitionByRange(partitions, "_day", "_order")
         .sortWithinPartitions("_day", "_order")
         .select(*columns, day_name(F.col("_day")).alias("file"))
         .write.mode("errorifexists")
