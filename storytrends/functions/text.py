@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SENTENCE_BREAK = "~~"
+# The characters of the pattern \s.
+WHITE_SPACE = " \t\n\x0b\f\r"
 
 # Marks around the page part of a raw story line.
 PAGE_START = '"webpage":"'
@@ -39,36 +41,42 @@ def article_cut(c: Column) -> Column:
     return text_clean(F.when((start > 0) & (rest != ""), page).otherwise(c))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
+def _split_text(text: Column, pattern: str) -> Column:
+    """``text`` cut at a white-space pattern without trailing empty parts."""
+    kept = F.rtrim(text, F.lit(WHITE_SPACE))
+    blank = (kept == "") & (text != "")
+    return F.when(blank, F.array().cast("array<string>")).otherwise(F.split(kept, pattern))
+
+
 def split_words(c: Column) -> Column:
     """Lower-case words cut at every single white-space character.
 
     Runs of white space give inner empty words; trailing ones are dropped.
     """
-    text = F.lower(c)
-    kept = F.regexp_replace(text, r"\s+\z", "")
-    blank = (kept == "") & (text != "")
-    return F.when(blank, F.array().cast("array<string>")).otherwise(F.split(kept, r"\s"))
+    return _let(F.lower(c), lambda text: _split_text(text, r"\s"))
 
 
 def _drop_trailing_empty(parts: Column) -> Column:
     last = F.array_max(F.transform(parts, lambda x, i: F.when(x != "", i + 1).otherwise(0)))
-    return F.slice(parts, F.lit(1), last)
+    return F.when(F.size(parts) == 1, parts).otherwise(F.slice(parts, F.lit(1), last))
 
 
 def _sentence_words(sentence: Column) -> Column:
     bare = F.regexp_replace(sentence, r'[\[\]“”():,‘’"]', "")
-    kept = F.regexp_replace(bare, r"\s+\z", "")
-    words = F.filter(F.split(kept, r"\s+"), lambda w: w.rlike(r"\p{L}|^\p{Nd}*\z"))
-    blank = (kept == "") & (bare != "")
-    return F.when(blank, F.array().cast("array<string>")).otherwise(words)
+    words = _let(bare, lambda text: _split_text(text, r"\s+"))
+    return F.filter(words, lambda w: w.rlike(r"\p{L}|^\p{Nd}*\z"))
 
 
 def sentences(c: Column) -> Column:
     """Sentences as word lists: words with a letter, whole numbers and empty words stay."""
     marked = F.regexp_replace(F.lower(c), r"[.?!]\s+", SENTENCE_BREAK)
     marked = F.regexp_replace(marked, r"[.?!]\z", "")
-    parts = F.split(marked, SENTENCE_BREAK)
-    parts = F.when(marked == "", parts).otherwise(_drop_trailing_empty(parts))
+    parts = _let(F.split(marked, SENTENCE_BREAK), _drop_trailing_empty)
     return F.transform(parts, _sentence_words)
 
 
@@ -108,10 +116,12 @@ def keep_word(
     return _kept_word(word, sorted({s.lower() for s in stop}), min_len, letters_only)
 
 
-def suffix_base(word: Column, rules: Iterable[tuple[str, str]] = SUFFIX_RULES) -> Column:
-    for pattern, base in rules:
-        word = F.regexp_replace(word, pattern, base)
-    return word
+def suffix_base(word: Column) -> Column:
+    """``word`` without the ending that the suffix rules take off."""
+    base = word
+    for pattern, replacement in SUFFIX_RULES:
+        base = F.regexp_replace(base, pattern, replacement)
+    return F.when(word.rlike(r"(?:s|ing|ed)\z"), base).otherwise(word)
 
 
 def words_to_text(words: Column) -> Column:
