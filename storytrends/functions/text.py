@@ -109,13 +109,6 @@ def token_filter(
     )
 
 
-def keep_word(
-    word: Column, stop: Iterable[str] = (), min_len: int = 4, letters_only: bool = True
-) -> Column:
-    """The test of ``token_filter`` on one exploded, lower-case word."""
-    return _kept_word(word, sorted({s.lower() for s in stop}), min_len, letters_only)
-
-
 def suffix_base(word: Column) -> Column:
     """``word`` without the ending that the suffix rules take off."""
     base = word

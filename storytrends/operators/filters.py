@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import title_tokens
 from ..functions.web import canonical_url, main_text, meta_content, page_title, url_eligible
 from ..sources.stories import timestamp_like
+from .rows import with_computed
 
 
 def nonempty_text(df: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
@@ -18,8 +19,8 @@ def nonempty_text(df: DataFrame, id: str = "id", text: str = "text") -> DataFram
 
 def titles_nonempty(df: DataFrame, id: str = "id", title: str = "title") -> DataFrame:
     """``id, words`` of titles that leave at least one token."""
-    words = title_tokens(F.col(title)).alias("words")
-    return df.filter(F.col(title) != "").select(id, words).filter(F.size("words") > 0)
+    titled = with_computed(df.filter(F.col(title) != ""), "words", title_tokens(F.col(title)))
+    return titled.filter(F.size("words") > 0).select(id, "words")
 
 
 def stories_only(df: DataFrame, col: str = "type", keep: str = "story") -> DataFrame:

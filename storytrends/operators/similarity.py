@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import zeros
 from ..session import collect_bounded, vector_size
+from .rows import array_rows, with_computed
 
 # Numbers in one block of vectors that a task holds or receives: 64 MB of doubles.
 BLOCK_NUMBERS = 8_000_000
@@ -322,10 +323,11 @@ def title_vectors(
     table is joined. Texts without words are left out.
     """
     dim = vector_size(vectors, "vector") if dim is None else dim
-    texts = df.select(F.col(id), F.col(words).alias("words")).filter(F.size("words") > 0)
+    texts = with_computed(df.select(id, words), "_words", F.col(words))
+    texts = texts.filter(F.size("_words") > 0).select(id, F.col("_words").alias("words"))
     small = collect_bounded(vectors.select(word, "vector"), block_numbers // max(dim, 1))
     if small is None:
-        rows = texts.select(id, F.explode("words").alias(word))
+        rows = array_rows(texts, id, F.col("words"), word)
         return mean_vectors(rows, vectors, id, word, dim)
     shipped = df.sparkSession.sparkContext.broadcast(
         (small.column(0).combine_chunks(), _matrix(small.column(1), dim))

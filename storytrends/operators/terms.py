@@ -10,8 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import keep_word, suffix_base
+from ..functions.text import suffix_base, token_filter
 from ..session import collect_bounded, cut_lineage
+from .rows import array_rows
 
 # Rows of the vocabulary that may be broadcast: at most some tens of megabytes.
 HOT_TERMS = 200_000
@@ -29,9 +30,8 @@ def term_rows(
     min_len: int = 4,
     letters_only: bool = True,
 ) -> DataFrame:
-    """One row ``id, term`` per kept word, filtered right behind the explode."""
-    rows = df.select(id, F.explode(words).alias("word")).select(id, F.lower("word").alias("term"))
-    return rows.filter(keep_word(F.col("term"), stop, min_len, letters_only))
+    """One row ``id, term`` per kept word; the rest is dropped inside the word list."""
+    return array_rows(df, id, token_filter(words, stop, min_len, letters_only), "term")
 
 
 def count_terms(terms: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import filters as fl
 from ..operators import terms as te
+from ..operators.rows import array_rows
 from ..session import spread
 from .registry import CORPUS, on_corpus, query
 from .views import STOP, corpus, filtered_words, table, titles, tokenized
@@ -152,7 +153,8 @@ def split_words(spark, root):
     ),
 )
 def sentences(spark, root):
-    rows = corpus(spark, root).select("id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "words"))
+    every = F.posexplode_outer(tx.sentences(F.col("text"))).alias("pos", "words")
+    rows = corpus(spark, root).select("id", every).filter(F.col("pos").isNotNull())
     return rows.select("id", F.col("pos").cast("bigint").alias("pos"), joined("words").alias("words"))
 
 
@@ -204,8 +206,8 @@ _SUFFIX_SQL = (
     SELECT id, coalesce(texts.words, '') AS words FROM tokenized LEFT JOIN texts USING (id)""",
 )
 def term_normalize(spark, root):
-    words = titles(spark, root).select(F.explode("words").alias("form"))
-    forms = words.filter(F.length("form") > 8).distinct()
+    words = array_rows(titles(spark, root), "id", F.col("words"), "form")
+    forms = words.filter(F.length("form") > 8).select("form").distinct()
     dictionary = forms.withColumn("base", F.substring("form", 1, 5))
     done = te.term_normalize(tokenized(spark, root), "id", "words", dictionary)
     return done.select("id", tx.words_to_text(F.col("words")).alias("words"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..operators import similarity as si
+from ..operators.rows import array_rows
 from .queries_text import TITLES
 from .registry import query
 from .views import STOP, label_means, text_word_table, titles, vectors, word_table
@@ -111,7 +112,8 @@ def scaled_dot(spark, root):
         FROM ranked LEFT JOIN word_table ON word = term""",
 )
 def word_vectors(spark, root):
-    tokens = titles(spark, root).select(F.explode("words").alias("word")).distinct()
+    words = array_rows(titles(spark, root), "id", F.col("words"), "word")
+    tokens = words.select("word").distinct()
     table = text_word_table(spark, root)
     found = si.word_vectors(tokens, table)
     norm = vx.vec_norm(F.col("vector"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_words, title_tokens, token_filter
 from ..operators.filters import webpage_extract
+from ..operators.rows import array_rows
 from ..operators.similarity import group_vector_mean
 from ..operators.terms import count_terms, vocab_index
 from ..session import cut_lineage, spread
@@ -98,7 +99,7 @@ def label_means(spark: SparkSession, root: str, name: str = "label") -> DataFram
 
 def text_word_table(spark: SparkSession, root: str) -> DataFrame:
     """Vectors of title words: the word of index i gets embedding i, the rest has none."""
-    words = titles(spark, root).select("id", F.explode("words").alias("term"))
+    words = array_rows(titles(spark, root), "id", F.col("words"), "term")
     vocab = vocab_index(count_terms(words))
     found = vocab.join(vectors(spark, root), F.col("idx") == F.col("id"))
     return found.select(F.col("term").alias("word"), "vector", "idx")
