@@ -56,12 +56,12 @@ def write_daily(
     into one task that opens the files of all days in turn.
     """
     partitions = partitions or int(stories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = stories.columns
-    keyed = stories.select(*columns, day.alias("_day"), order.alias("_order"))
+    keyed = stories.select("*", day.alias("_day"), order.alias("_order"), day_name(day).alias("file"))
+    # The writer needs rows in order of the folder; sorting by it first keeps the rest.
     (
         keyed.repartitionByRange(partitions, "_day", "_order")
-        .sortWithinPartitions("_day", "_order")
-        .select(*columns, day_name(F.col("_day")).alias("file"))
+        .sortWithinPartitions("file", "_order")
+        .drop("_day", "_order")
         .write.mode("errorifexists")
         .partitionBy("file")
         .json(path)
