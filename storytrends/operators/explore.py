@@ -6,7 +6,7 @@ for domains, ``url``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.web import host
@@ -18,6 +18,18 @@ def month_of(ts: str | Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
+def by_month(df: DataFrame, ts: str, *keys: str) -> GroupedData:
+    """Group by ``keys`` and ``month``, the first day of the month of ``ts``.
+
+    Months stay dates until the rows are aggregated; ``named_month`` spells them out.
+    """
+    return df.groupBy(*keys, F.trunc(ts, "month").alias("month"))
+
+
+def named_month(df: DataFrame) -> DataFrame:
+    return df.withColumn("month", month_of("month"))
+
+
 def _measures() -> list[Column]:
     return [
         F.count("*").alias("stories"),
@@ -39,7 +51,7 @@ def overall_totals(stories: DataFrame, approximate: bool = False) -> DataFrame:
 def monthly_totals(stories: DataFrame) -> DataFrame:
     """``month, articles, points, comments, partial``; ``partial`` marks a last month
     whose last story comes before its last day."""
-    months = stories.groupBy(month_of("created_at").alias("month")).agg(
+    months = by_month(stories, "created_at").agg(
         F.count("*").alias("articles"),
         F.sum("points").alias("points"),
         F.sum("num_comments").alias("comments"),
@@ -48,7 +60,9 @@ def monthly_totals(stories: DataFrame) -> DataFrame:
     # One row per month is left here, so a single window over all of them is small.
     newest = F.max("month").over(Window.partitionBy())
     partial = (F.col("month") == newest) & (F.col("_last") < F.last_day("_last"))
-    return months.select("month", "articles", "points", "comments", partial.alias("partial"))
+    return months.select(
+        month_of("month").alias("month"), "articles", "points", "comments", partial.alias("partial")
+    )
 
 
 def month_range(df: DataFrame, first: Column, last: Column, name: str = "month") -> DataFrame:
@@ -67,13 +81,10 @@ def month_calendar(
 
 def months_covered(stories: DataFrame) -> DataFrame:
     """``month, articles`` for every month between the first and the last story."""
-    span = stories.agg(
-        F.to_date(F.min("created_at")).alias("first"), F.to_date(F.max("created_at")).alias("last")
-    )
+    counted = named_month(by_month(stories, "created_at").agg(F.count("*").alias("articles")))
+    day = F.to_date(F.concat("month", F.lit("-01")))
+    span = counted.agg(F.min(day).alias("first"), F.max(day).alias("last"))
     months = month_range(span, F.col("first"), F.col("last")).select("month")
-    counted = stories.groupBy(month_of("created_at").alias("month")).agg(
-        F.count("*").alias("articles")
-    )
     return months.join(counted, "month", "left").select(
         "month", F.coalesce("articles", F.lit(0)).alias("articles")
     )

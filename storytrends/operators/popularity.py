@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .explore import month_of, month_range
+from .explore import by_month, month_range, named_month
 
 COUNTS = ("articles", "points", "comments")
 
@@ -21,11 +21,12 @@ def topic_month_counts(
     if topics is not None:
         stories = stories.drop("topic").join(topics, "story_id")
     weight = F.col("probability") if weighted else F.lit(1)
-    return stories.groupBy("topic", month_of("created_at").alias("month")).agg(
+    counts = by_month(stories, "created_at", "topic").agg(
         F.sum(weight).alias("articles"),
         F.sum(F.col("points") * weight).alias("points"),
         F.sum(F.col("num_comments") * weight).alias("comments"),
     )
+    return named_month(counts)
 
 
 def topic_month_shares(counts: DataFrame, totals: DataFrame | None = None) -> DataFrame:
@@ -68,18 +69,26 @@ def topic_popularity(
 
 
 def topic_month_dense(popularity: DataFrame) -> DataFrame:
-    """The popularity of every topic in every month, zeros where it has no story."""
-    month = F.to_date(F.concat("month", F.lit("-01")))
-    topics = popularity.groupBy("topic").agg(F.min(month).alias("_lo"), F.max(month).alias("_hi"))
+    """The popularity of every topic in every month, zeros where it has no story.
+
+    The months of a topic, at most one row each, become a map that the calendar looks
+    its values up in, so the stories are read once.
+    """
+    values = [c for c in popularity.columns if c not in ("topic", "month")]
+    day = F.to_date(F.concat("month", F.lit("-01")))
+    cell = F.struct("month", F.struct(*values))
+    topics = popularity.groupBy("topic").agg(
+        F.map_from_entries(F.collect_list(cell)).alias("_cells"),
+        F.min(day).alias("_lo"),
+        F.max(day).alias("_hi"),
+    )
     # One row per topic is left here.
     every = Window.partitionBy()
-    topics = topics.select(
-        "topic", F.min("_lo").over(every).alias("_lo"), F.max("_hi").over(every).alias("_hi")
-    )
-    grid = month_range(topics, F.col("_lo"), F.col("_hi")).select("topic", "month")
-    values = [c for c in popularity.columns if c not in ("topic", "month")]
-    filled = [F.coalesce(c, F.lit(0)).alias(c) for c in values]
-    return grid.join(popularity, ["topic", "month"], "left").select("topic", "month", *filled)
+    lo, hi = F.min("_lo").over(every).alias("_lo"), F.max("_hi").over(every).alias("_hi")
+    grid = month_range(topics.select("topic", "_cells", lo, hi), F.col("_lo"), F.col("_hi"))
+    cells = grid.select("topic", "month", F.col("_cells")[F.col("month")].alias("_cell"))
+    filled = (F.coalesce(F.col(f"_cell.{c}"), F.lit(0)).alias(c) for c in values)
+    return cells.select("topic", "month", *filled)
 
 
 def topic_series_arrays(dense: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ from ..functions.text import suffix_base, token_filter
 from ..session import collect_bounded, cut_lineage
 from .rows import array_rows
 
-# Rows of the vocabulary that may be broadcast: at most some tens of megabytes.
-HOT_TERMS = 200_000
+# Rows of the vocabulary that may go to every task: some tens of megabytes.
+HOT_TERMS = 500_000
 # Dictionary entries that may be shipped to every task.
 DICTIONARY_ROWS = 500_000
 
@@ -82,23 +82,63 @@ def vocab_index(vocab: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def bag_of_words(
-    terms: DataFrame, id: str, vocab: DataFrame, hot_terms: int = HOT_TERMS
+    df: DataFrame, id: str, words: str, vocab: DataFrame, hot_terms: int = HOT_TERMS
 ) -> DataFrame:
     """``id, idx, n``: the count of each vocabulary term in each document.
 
-    Terms are counted per document before they meet the vocabulary. The vocabulary is
-    ordered by count, so its first ``hot_terms`` rows hold every term that could make
-    a join key hot; these are broadcast, and only the rare rest is joined by shuffle.
+    The vocabulary is ordered by count, so its first ``hot_terms`` rows hold every
+    term that could make a join key hot. They go to every task and are counted in
+    place, without a shuffle. Only the rare terms behind them are joined by shuffle,
+    and none of these has more than 1/``hot_terms`` of all words.
     """
-    counts = terms.groupBy(id, "term").agg(F.count("*").alias("n"))
     vocab = vocab.select("term", "idx")
-    hot = F.broadcast(vocab.filter(F.col("idx") < hot_terms))
-    bag = counts.join(hot, "term")
-    if not vocab.filter(F.col("idx") >= hot_terms).isEmpty():
-        cold = vocab.filter(F.col("idx") >= hot_terms)
-        rare = counts.join(hot.select("term"), "term", "left_anti").join(cold, "term")
-        bag = bag.unionByName(rare)
-    return bag.select(id, "idx", "n")
+    hot = vocab.filter(F.col("idx") < hot_terms)
+    counted = count_in_place(df.select(id, words), hot.toArrow())
+    pairs = F.arrays_zip(F.col("indices").alias("idx"), F.col("values").alias("n"))
+    bag = counted.select(id, F.inline(pairs)).select(
+        id, F.col("idx").cast("bigint").alias("idx"), F.col("n").cast("bigint").alias("n")
+    )
+    cold = vocab.filter(F.col("idx") >= hot_terms)
+    if cold.isEmpty():
+        return bag
+    rows = array_rows(df, id, F.col(words), "term")
+    rare = rows.join(F.broadcast(hot.select("term")), "term", "left_anti").join(cold, "term")
+    return bag.unionByName(rare.groupBy(id, "idx").agg(F.count("*").alias("n")))
+
+
+def count_in_place(texts: DataFrame, vocab: pa.Table) -> DataFrame:
+    """``id, indices, values``: per text the terms of ``vocab`` it has, and how often.
+
+    Texts are ``id, words``; those without such a term are left out.
+    """
+    listed = vocab.sort_by("idx")
+    shipped = texts.sparkSession.sparkContext.broadcast(listed.column("term").combine_chunks())
+    id, words = texts.columns
+    kind = texts.schema[id].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shipped.value
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            found = pc.index_in(lists.flatten(), value_set=terms)
+            known = pc.is_valid(found).to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(len(lists)), sizes)[known]
+            pairs = rows * max(len(terms), 1) + found.drop_null().to_numpy().astype(np.int64)
+            pairs, counts = np.unique(pairs, return_counts=True)
+            rows, indices = np.divmod(pairs, max(len(terms), 1))
+            kept, starts = np.unique(rows, return_index=True)
+            ends = pa.array(np.append(starts, len(rows)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(kept)),
+                    pa.ListArray.from_arrays(ends, pa.array(indices.astype(np.int32))),
+                    pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.float64))),
+                ],
+                [id, "indices", "values"],
+            )
+
+    return texts.mapInArrow(count, f"{id} {kind}, indices array<int>, values array<double>")
 
 
 def article_word_counts(df: DataFrame, id: str = "id", words: str = "words") -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .explore import month_of
 
 
 def topic_peak_month(popularity: DataFrame) -> DataFrame:
@@ -21,9 +20,10 @@ def spike_stories(peaks: DataFrame, stories: DataFrame, n: int = 10) -> DataFram
 
     Every task keeps its best ``n`` per topic before rows are exchanged.
     """
-    posts = stories.withColumn("month", month_of("created_at"))
+    posts = stories.withColumn("_first", F.trunc("created_at", "month"))
+    first = F.to_date(F.concat("month", F.lit("-01"))).alias("_first")
     order = Window.partitionBy("topic").orderBy(F.desc("points"), "story_id")
-    ranked = posts.join(peaks.select("topic", "month"), ["topic", "month"]).withColumn(
+    ranked = posts.join(peaks.select("topic", "month", first), ["topic", "_first"]).withColumn(
         "rank", F.row_number().over(order)
     )
     return ranked.filter(F.col("rank") <= n).select("topic", "month", "rank", "story_id", "points")

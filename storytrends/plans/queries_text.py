@@ -233,7 +233,7 @@ def vocab_index(spark, root):
     f"WITH {VOCAB} SELECT id, idx, count(*) AS n FROM terms JOIN vocab USING (term) GROUP BY ALL",
 )
 def bag_of_words(spark, root):
-    return te.bag_of_words(term_table(spark, root), "id", vocabulary(spark, root))
+    return te.bag_of_words(tokenized(spark, root), "id", "words", vocabulary(spark, root))
 
 
 @query(

@@ -195,7 +195,9 @@ def test_bag_of_words_with_hot_and_rare_terms(spark, hot_terms):
     terms, _ = terms_frame(spark)
     vocab = te.vocab_index(te.vocab_trimmed(te.count_terms(terms), 1))
     names = {r.idx: r.term for r in vocab.collect()}
-    found = {(r.id, names[r.idx]): r.n for r in te.bag_of_words(terms, "id", vocab, hot_terms).collect()}
+    texts = terms.groupBy("id").agg(F.collect_list("term").alias("words"))
+    bag = te.bag_of_words(texts, "id", "words", vocab, hot_terms)
+    found = {(r.id, names[r.idx]): r.n for r in bag.collect()}
     expected = {(r.id, r.term): r["count"] for r in terms.groupBy("id", "term").count().collect() if r.term != "e"}
     assert found == expected
 
