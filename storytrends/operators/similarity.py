@@ -23,6 +23,8 @@ from .rows import array_rows, with_computed
 BLOCK_NUMBERS = 8_000_000
 # Rows of one tile when both sides are too big to ship.
 TILE_ROWS = 50_000
+# Scores computed at a time.
+SCORE_NUMBERS = 8_000_000
 # Numbers gathered at a time when texts are averaged.
 GATHER_NUMBERS = 4_000_000
 
@@ -60,6 +62,7 @@ def negative_distances(points: np.ndarray, targets: np.ndarray) -> np.ndarray:
 
 
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _rounded(scores: np.ndarray) -> np.ndarray:
@@ -68,13 +71,29 @@ def _rounded(scores: np.ndarray) -> np.ndarray:
     return scores
 
 
-def _best_rows(scores: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the ``n`` best finite scores, in order (score falling, name)."""
-    rows = np.flatnonzero(scores > -np.inf)
-    if len(rows) > n:
-        floor = np.partition(scores[rows], len(rows) - n)[len(rows) - n]
-        rows = rows[scores[rows] >= floor]
-    return rows[np.lexsort((names[rows], -scores[rows]))][:n]
+def _slices(rows: int, targets: int) -> Iterator[slice]:
+    """Cuts of the rows that keep rows times targets bounded."""
+    step = max(1, SCORE_NUMBERS // max(targets, 1))
+    for lo in range(0, rows, step):
+        yield slice(lo, lo + step)
+
+
+def _own_column(words: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns where a word is the query itself."""
+    order = np.argsort(queries)
+    at = order[np.searchsorted(queries, words, sorter=order).clip(max=len(queries) - 1)]
+    rows = np.flatnonzero(queries[at] == words)
+    return rows, at[rows]
+
+
+def _best_per_query(at: np.ndarray, words: np.ndarray, scores: np.ndarray, n: int) -> Found:
+    """The best ``n`` per query of candidates, in order (score falling, word)."""
+    order = np.lexsort((words, -scores, at))
+    at, words, scores = at[order], words[order], scores[order]
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+    rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+    keep = rank < n
+    return at[keep], words[keep], scores[keep]
 
 
 def _candidates(
@@ -84,15 +103,21 @@ def _candidates(
     targets: np.ndarray,
     n: int,
     exclude_self: bool,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+) -> Found:
     """Best ``n`` words of these for each query: query positions, words and scores."""
-    scores = _rounded(cosine_scores(points, targets))
-    if exclude_self:
-        scores[words[:, None] == queries[None, :]] = -np.inf
-    found = [_best_rows(scores[:, q], words, n) for q in range(len(queries))]
-    at = np.repeat(np.arange(len(queries)), [len(f) for f in found])
-    rows = np.concatenate(found) if found else np.zeros(0, dtype=int)
-    return at, words[rows], scores[rows, at]
+    best: Found = np.zeros(0, dtype=int), words[:0], np.zeros(0)
+    for part in _slices(len(words), len(queries)):
+        names = words[part]
+        scores = _rounded(cosine_scores(points[part], targets))
+        if exclude_self and len(queries):
+            scores[_own_column(names, queries)] = -np.inf
+        keep = scores > -np.inf
+        if len(names) > n:
+            keep &= scores >= np.partition(scores, len(names) - n, axis=0)[len(names) - n]
+        rows, at = np.nonzero(keep)
+        found = (at, names[rows], scores[rows, at])
+        best = _best_per_query(*(np.concatenate(pair) for pair in zip(best, found)), n)
+    return best
 
 
 def nearest_words(
@@ -140,7 +165,7 @@ def _nearest_by_broadcast(
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, targets = shipped.value
         queries = _names(names)
-        kept: tuple | None = None
+        kept: Found | None = None
         word_type = None
         for batch in batches:
             word_type = batch.column(0).type
@@ -149,7 +174,7 @@ def _nearest_by_broadcast(
                 exclude_self,
             )
             if kept is not None:
-                found = _merge(kept, found, n)
+                found = _best_per_query(*(np.concatenate(pair) for pair in zip(kept, found)), n)
             kept = found
         if kept is not None:
             yield _rows_out(names, *kept, word_type)
@@ -157,17 +182,6 @@ def _nearest_by_broadcast(
     return vectors.mapInArrow(best, schema)
 
 
-def _merge(a: tuple, b: tuple, n: int) -> tuple:
-    """The best ``n`` per query of two candidate sets."""
-    at, words, scores = (np.concatenate(pair) for pair in zip(a, b))
-    order = np.lexsort((words, -scores, at))
-    at, words, scores = at[order], words[order], scores[order]
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
-    keep = rank < n
-    return at[keep], words[keep], scores[keep]
-
-
 def _tiled(df: DataFrame, name: str, own: str, own_count: int, other: str, other_count: int):
     """Rows once for each tile of the other side, with both tile numbers."""
     copies = F.explode(F.sequence(F.lit(0), F.lit(other_count - 1)))
@@ -257,9 +271,12 @@ def _matched(ids, vectors, names: pa.Array, matrix: np.ndarray, dim: int, score:
         return pa.RecordBatch.from_arrays(
             [ids.take(pa.array(empty)), names, pa.array([], pa.float64())], [id, target, "score"]
         )
-    scores = _rounded(score(_matrix(vectors, dim), matrix))
-    at = scores.argmax(axis=1)  # targets are in name order, so the first best wins
-    value = scores[np.arange(len(at)), at]
+    points = _matrix(vectors, dim)
+    at, value = np.zeros(len(points), dtype=int), np.zeros(len(points))
+    for part in _slices(len(points), len(names)):
+        scores = _rounded(score(points[part], matrix))
+        at[part] = scores.argmax(axis=1)  # targets are in name order, so the first best wins
+        value[part] = scores.max(axis=1)
     keep = np.flatnonzero(value > -np.inf)
     return pa.RecordBatch.from_arrays(
         [ids.take(pa.array(keep)), names.take(pa.array(at[keep])), pa.array(value[keep])],

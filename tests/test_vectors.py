@@ -55,6 +55,17 @@ def test_cosine_of_unequal_sizes_is_an_error(spark):
         df.select(vx.cosine(F.col("a"), F.col("b"))).collect()
 
 
+def test_candidates_in_small_slices(monkeypatch, words):
+    queries = words[3:20]
+    names, points = np.array([w for w, _ in words]), np.array([v for _, v in words])
+    labels, targets = np.array([w for w, _ in queries]), np.array([v for _, v in queries])
+    for numbers in (10**6, 17 * 30, 5):
+        monkeypatch.setattr(si, "SCORE_NUMBERS", numbers)
+        at, found, _ = si._candidates(names, points, labels, targets, 7, True)
+        got = {q: found[at == i].tolist() for i, q in enumerate(labels.tolist())}
+        assert got == brute_nearest(queries, words, 7, True)
+
+
 @pytest.mark.parametrize("block_numbers", [10**6, 60])
 @pytest.mark.parametrize("exclude_self", [False, True])
 def test_nearest_words_equals_brute_force(spark, words, block_numbers, exclude_self):
