@@ -233,8 +233,9 @@ def best_match(
     schema = f"{id} {id_type}, {target} {targets.schema[target].dataType.simpleString()}, score double"
     points = points.select(id, "vector")
     targets = targets.select(target, "vector").filter(F.col("vector").isNotNull())
-    small = collect_bounded(targets.orderBy(target), block_numbers // max(dim, 1))
+    small = collect_bounded(targets, block_numbers // max(dim, 1))
     if small is not None:
+        small = small.sort_by(target)
         names, matrix = small.column(0).combine_chunks(), _matrix(small.column(1), dim)
         shipped = points.sparkSession.sparkContext.broadcast((names, matrix))
 

@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..operators import filters as fl
 from ..operators import terms as te
 from ..operators.rows import array_rows
-from ..session import spread
+from ..session import cut_lineage, spread
 from .registry import CORPUS, on_corpus, query
 from .views import STOP, corpus, filtered_words, table, titles, tokenized
 
@@ -208,7 +208,7 @@ _SUFFIX_SQL = (
 def term_normalize(spark, root):
     words = array_rows(titles(spark, root), "id", F.col("words"), "form")
     forms = words.filter(F.length("form") > 8).select("form").distinct()
-    dictionary = forms.withColumn("base", F.substring("form", 1, 5))
+    dictionary = cut_lineage(forms.withColumn("base", F.substring("form", 1, 5)), "dictionary")
     done = te.term_normalize(tokenized(spark, root), "id", "words", dictionary)
     return done.select("id", tx.words_to_text(F.col("words")).alias("words"))
 

@@ -102,7 +102,7 @@ def text_word_table(spark: SparkSession, root: str) -> DataFrame:
     words = array_rows(titles(spark, root), "id", F.col("words"), "term")
     vocab = vocab_index(count_terms(words))
     found = vocab.join(vectors(spark, root), F.col("idx") == F.col("id"))
-    return found.select(F.col("term").alias("word"), "vector", "idx")
+    return cut_lineage(found.select(F.col("term").alias("word"), "vector", "idx"), "words")
 
 
 def article_topics(spark: SparkSession, root: str) -> DataFrame:

@@ -70,9 +70,12 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def collect_bounded(df: DataFrame, max_rows: int) -> pa.Table | None:
-    """All rows of ``df`` as Arrow if there are at most ``max_rows``, else None."""
-    table = df.limit(max_rows + 1).toArrow()
-    return table if table.num_rows <= max_rows else None
+    """All rows of ``df`` as Arrow if there are at most ``max_rows``, else None.
+
+    The rows are counted first: a limit would send up to ``max_rows`` rows of every
+    partition to one task. Write a frame that is costly to compute beforehand.
+    """
+    return df.toArrow() if df.count() <= max_rows else None
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
