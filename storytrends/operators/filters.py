@@ -13,6 +13,19 @@ from ..sources.stories import timestamp_like
 from .rows import with_computed
 
 
+def flatten_items(stories: DataFrame) -> DataFrame:
+    """Nested stories as flat rows; the title of the page is ``page_title``."""
+    page = ("metaDescription", "metaKeywords", "cleanedText", "finalUrl", "topImage")
+    post = (
+        "title", "url", "author", "points", "story_text", "num_comments", "created_at_i", "objectID",
+    )
+    return stories.select(
+        F.col("webpage.title").alias("page_title"),
+        *(F.col(f"webpage.{c}") for c in page),
+        *(F.col(f"HNItem.{c}") for c in post),
+    )
+
+
 def nonempty_text(df: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
     return df.filter(F.col(text) != "").select(id, text)
 

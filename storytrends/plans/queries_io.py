@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks, sources
 from ..functions.text import words_to_text
+from ..operators import filters as fl
 from ..session import scratch_path
 from .queries_text import PAGE_TEXTS, TOKENIZED
 from .queries_topics import DISTRIBUTION, _TOPIC_WORDS, _topic_words
@@ -77,6 +78,17 @@ def article_export(spark, root):
     return rows.withColumn("Date", day.cast("string"))
 
 
+@query(
+    "flatten_items",
+    f"""{_ITEMS} SELECT page_title, "metaDescription", "metaKeywords", text AS "cleanedText", "finalUrl",
+        "topImage", title, url, CAST(author AS VARCHAR) AS author, CAST(points AS INTEGER) AS points,
+        '' AS story_text, CAST(num_comments AS INTEGER) AS num_comments,
+        CAST(epoch(created_at) AS INTEGER) AS created_at_i, CAST(id AS VARCHAR) AS "objectID" FROM items""",
+)
+def flatten_items(spark, root):
+    return fl.flatten_items(items(spark, root))
+
+
 @query(
     "tokenized_roundtrip",
     f"WITH {TOKENIZED} SELECT CAST(id AS VARCHAR) AS id, array_to_string(words, ' ') AS words, "

@@ -23,6 +23,9 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Batches of long word lists stay small in the Python workers.
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "64MB")
     )
     if master:
         builder = builder.master(master)

@@ -47,14 +47,22 @@ def day_name(day: Column) -> Column:
 
 
 def write_daily(
-    stories: DataFrame, path: str, day: Column, order: Column, partitions: int | None = None
+    stories: DataFrame,
+    path: str,
+    day: Column | None = None,
+    order: Column | None = None,
+    partitions: int | None = None,
 ) -> None:
     """Stories as newline JSON in one folder per day, in ``order`` within the day.
 
+    By default the day and the order are those of ``HNItem.created_at``, then the id.
+
     Ranges over (day, order) keep the order and split a day too big for one task
     over several files. Their number is fixed, so that small ranges are not merged
     into one task that opens the files of all days in turn.
     """
+    day = F.to_date("HNItem.created_at") if day is None else day
+    order = F.struct("HNItem.created_at", "HNItem.objectID") if order is None else order
     partitions = partitions or int(stories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = stories.select("*", day.alias("_day"), order.alias("_order"), day_name(day).alias("file"))
     # The writer needs rows in order of the folder; sorting by it first keeps the rest.

@@ -20,9 +20,9 @@ LINE = {
 @pytest.fixture
 def day_files(tmp_path):
     sparse = {"HNItem": {"objectID": "78", "points": None}}
-    (tmp_path / "HN-stories-2015-June-10").write_text(json.dumps(LINE) + "\n" + json.dumps(sparse) + "\n")
-    (tmp_path / "HN-stories-2015-January-1").write_text(json.dumps(LINE) + "\n")
-    (tmp_path / "HN-stories-2014-June-2").write_text("")
+    (tmp_path / "my-stories-2015-June-10").write_text(json.dumps(LINE) + "\n" + json.dumps(sparse) + "\n")
+    (tmp_path / "my-stories-2015-January-1").write_text(json.dumps(LINE) + "\n")
+    (tmp_path / "my-stories-2014-June-2").write_text("")
     return str(tmp_path)
 
 
@@ -50,6 +50,13 @@ def test_malformed_line(spark, tmp_path):
     assert [r._corrupt_record for r in rows if r._corrupt_record] == ["{broken"]
 
 
+def test_write_daily_by_default(spark, day_files, tmp_path):
+    out = str(tmp_path / "out")
+    sinks.write_daily(sources.read_stories(spark, sources.period_glob(day_files, 2015, 1)), out)
+    back = sources.read_stories(spark, sources.period_glob(out, 2015, 6))
+    assert [r.HNItem.objectID for r in back.collect()] == ["77"]
+
+
 def test_write_daily_keeps_order_and_days(spark, day_files, tmp_path):
     stories = sources.read_stories(spark, sources.period_glob(day_files, 2015))
     many = stories.select("webpage", "HNItem", "file_day", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("n"))
