@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.web import host
+from .rows import with_computed
 
 MEASURES = ("stories", "points", "comments")
 
@@ -147,8 +148,8 @@ def top_submitters_rate(stories: DataFrame, n: int = 10) -> DataFrame:
 
 def domain_measures(stories: DataFrame, url: str = "url") -> DataFrame:
     """``domain`` with its measures; stories without a host are left out."""
-    named = stories.withColumn("domain", host(F.col(url))).filter(F.col("domain").isNotNull())
-    return group_measures(named, "domain")
+    named = with_computed(stories, "domain", host(F.col(url)))
+    return group_measures(named.filter(F.col("domain").isNotNull()), "domain")
 
 
 def top_domains(stories: DataFrame, measure: str = "stories", n: int = 10) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import zeros
-from ..session import collect_bounded, vector_size
+from ..session import collect_bounded, cut_lineage, vector_size
 from .rows import array_rows, with_computed
 
 # Numbers in one block of vectors that a task holds or receives: 64 MB of doubles.
@@ -346,7 +346,7 @@ def title_vectors(
     small = collect_bounded(vectors.select(word, "vector"), block_numbers // max(dim, 1))
     if small is None:
         rows = array_rows(texts, id, F.col("words"), word)
-        return mean_vectors(rows, vectors, id, word, dim)
+        return mean_vectors(rows, cut_lineage(vectors.select(word, "vector"), "words"), id, word, dim)
     shipped = df.sparkSession.sparkContext.broadcast(
         (small.column(0).combine_chunks(), _matrix(small.column(1), dim))
     )
@@ -373,7 +373,11 @@ def title_vectors(
 def mean_vectors(
     rows: DataFrame, vectors: DataFrame, id: str, word: str, dim: int | None = None
 ) -> DataFrame:
-    """``id, vector`` from rows ``id, word``; words are counted per text before the join."""
+    """``id, vector`` from rows ``id, word``; words are counted per text before the join.
+
+    ``vectors`` should be a stored table: Spark splits a hot word only if no aggregate
+    stands between the shuffle of that side and the join.
+    """
     counts = rows.groupBy(id, word).agg(F.count("*").alias("_n"))
     known = word_vectors(counts, vectors, word, dim)
     dim = vector_size(vectors, "vector") if dim is None else dim

@@ -196,7 +196,9 @@ def rebuild_lists(lists: pa.ListArray, flat: pa.Array) -> pa.ListArray:
 def _normalize_by_join(
     df: DataFrame, id: str, words: str, dictionary: DataFrame, fallback: Callable[[Column], Column]
 ) -> DataFrame:
-    entries = dictionary.select(F.col("form").alias("word"), "base")
+    # Adaptive splitting of hot words needs a side without an aggregate behind its
+    # shuffle, so the dictionary, often the result of one, is written first.
+    entries = cut_lineage(dictionary.select(F.col("form").alias("word"), "base"), "dictionary")
     rows = df.select(id, F.posexplode_outer(words).alias("pos", "word"))
     based = rows.join(entries, "word", "left").select(
         id, "pos", F.coalesce("base", fallback(F.col("word"))).alias("base")

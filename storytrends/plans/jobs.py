@@ -98,7 +98,8 @@ def lda_job(
 def word2vec_job(spark: SparkSession, path: str, model_path: str, **options) -> None:
     """Word vectors trained on all titles and all sentences of the texts."""
     stories = sources.read_stories(spark, path)
-    sinks.save_model(mo.word2vec_fit(mo.training_sentences(_titles(stories), _texts(stories)), **options), model_path)
+    sentences = mo.training_sentences(_titles(stories), _texts(stories))
+    sinks.save_model(mo.word2vec_fit(sentences, **options), model_path)
 
 
 def kmeans_job(
@@ -138,7 +139,8 @@ def classify_job(
 
 def popularity_job(spark: SparkSession, path: str, clustering: str, topics: str, out: str) -> None:
     """Monthly scores of clusters: ``popularity`` and the two documents of the page."""
-    facts = story_facts(sources.read_stories(spark, path))
+    story_facts(sources.read_stories(spark, path)).write.parquet(f"{out}/facts")
+    facts = spark.read.parquet(f"{out}/facts")
     assigned = spark.read.parquet(clustering).select(
         F.col("objectID").alias("story_id"), F.col("topicId").alias("topic")
     )

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from storytrends.operators import explore as ex
 from storytrends.operators import popularity as pop
+from storytrends.operators import similarity as si
 from storytrends.operators import terms as te
 from storytrends.operators import topics as tp
 from storytrends.operators import trends as tr
+from storytrends.session import cut_lineage
 
 N = 30_000
 
@@ -68,3 +70,39 @@ def test_topic_words_of_a_hot_topic(spark):
     # Every third id, and all multiples of 50: the heaviest are ids ending in 999.
     expected = sorted(f"w{i}" for i in range(999, 20_000, 1000) if i % 3 == 0 or i % 50 == 0)[:3]
     assert found == expected
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins by shuffle, with skew seen at the size of this data."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
+
+
+def final_plan(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_split_a_hot_word(spark, no_broadcast):
+    word = F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 5000).cast("string"))
+    rows = spark.range(120_000).select("id", word.alias("word"))
+    table = rows.select("word").distinct().withColumn("vector", F.array(F.lit(1.0), F.lit(2.0)))
+    means = si.mean_vectors(rows, cut_lineage(table), "id", "word", dim=2)
+    assert "skew=true" in final_plan(means)
+    assert means.filter("vector = array(1D, 2D)").count() == 120_000
+    texts = rows.select("id", F.array("word").alias("words"))
+    bases = table.select(F.col("word").alias("form"), F.upper("word").alias("base"))
+    done = te.term_normalize(texts, "id", "words", bases, None, max_rows=0)
+    assert "skew=true" in final_plan(done)
+    assert done.filter("words[0] = 'HOT'").count() == 40_000
