@@ -1,6 +1,6 @@
 """Operator 3: line-first cleaning rules, by column functions only.
 
-Rules look at one line at a time: does it end like a sentence, is it a menu, is it a
+Rules look at one line at a time: does it hold a sentence, is it a menu, is it a
 boilerplate notice, is it mostly marks, shouting or one word over and over. Lines that
 fail are removed, and a document that loses too much of its text is rejected.
 """
@@ -20,7 +20,7 @@ BOILERPLATE = (
 )
 MENU = r"\|[^|]*\||\s[»›>]\s.*\s[»›>]\s|^\s*(home|menu|next|previous|back|share|login|log in)\s*$|\|\s*$"
 SHOUT = r"!!|\?\?|(?:\b\p{Lu}{2,}\b[^\p{Ll}]*){5,}"
-ENDING = r"[.!?…。:;\"'”’»)\]]\s*$"
+SENTENCE = r"[.!?…。](\s|$|[\"'”’»)\]])|[:;]\s*$"
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 #: A document goes if more than this share of its line characters is removed.
@@ -37,8 +37,8 @@ def line_fails(line: Column) -> Column:
     n, long = F.size(words), F.length(line)
     symbols = long - F.length(F.translate(line, SYMBOLS, ""))
     return (
-        # punctuation: a line of several words that does not end like a sentence
-        ((n >= 8) & ~line.rlike(ENDING))
+        # punctuation: several words and no end of a sentence anywhere
+        ((n >= 8) & ~line.rlike(SENTENCE))
         | (symbols * 10 > long)
         | line.rlike(SHOUT)
         # navigation
