@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from storytrends.session import scratch_path
 
-from . import bpe, html, packing, rules, shards, warc
+from . import bpe, html, packing, quality, rules, shards, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
