@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from .shingles import word_hashes
+
 #: Labelled documents used at most: the smallest of a hash of their ids, so any order gives the same.
 SAMPLE = 4096
 RANK = 64
@@ -29,9 +31,8 @@ SHARPNESS = 8
 THRESHOLD = 0.7
 KINDS = 12
 TERMS = 2048
-#: Share of the vector that the repeated words make up at most.
+#: Weight of the two terms for repeated words.
 REPEAT_WEIGHT = 2.0
-PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def kind_table() -> np.ndarray:
@@ -46,20 +47,6 @@ def kind_table() -> np.ndarray:
 KIND = kind_table()
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word (bytes between white space) of a text."""
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    inside = np.flatnonzero(~blank)
-    if not len(inside):
-        return np.zeros(0, np.uint64)
-    first = np.append(True, np.diff(inside) > 1)
-    starts = np.flatnonzero(first)
-    place = (np.arange(len(inside)) - np.repeat(starts, np.diff(np.append(starts, len(inside))))).astype(np.uint64)
-    mixed = (data[inside].astype(np.uint64) + np.uint64(1)) * PRIME ^ (place + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * PRIME
-    return np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), starts)
-
-
 def terms(text: str | None) -> np.ndarray:
     """Square roots of the shares of all terms; zeros for a text without terms."""
     out = np.zeros(TERMS + 2, np.float32)

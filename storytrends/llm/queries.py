@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from storytrends.session import scratch_path
 
-from . import bpe, html, packing, quality, rules, shards, warc
+from . import bpe, html, minhash, packing, quality, rules, shards, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.drop("text", "clean_text")
 
 
+@query
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"))
