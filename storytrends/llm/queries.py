@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from storytrends.session import scratch_path
 
-from . import bpe, html, minhash, packing, pivots, quality, rules, shards, warc
+from . import bpe, html, minhash, packing, pivots, quality, repeats, rules, shards, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op5_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.links(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
