@@ -206,9 +206,10 @@ def score(docs: DataFrame, model: Model, block: int = 512) -> DataFrame:
     """``docs`` with score and predicted for every row; a null text counts as an empty one.
 
     An empty text has no terms, so all labels vote. Rows are independent, other columns
-    pass through (``score`` and ``predicted`` must be free). The broadcast model holds at
+    pass through (own ones named ``score`` or ``predicted`` are replaced). The broadcast model holds at
     most SAMPLE vectors of RANK and the axes, about 2 MB.
     """
+    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 

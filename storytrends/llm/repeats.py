@@ -25,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .anchors import GRAM, LENGTH, anchors
 from .common import lookup, written
@@ -282,8 +283,9 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     ``copy`` marks rows whose whole text a smaller doc_id has; their spans are null. A null
     text counts as empty and shorter texts than LENGTH lose nothing. Rows that repeat
     doc_id and text are one document; other texts under one doc_id come in the order of a
-    hash. Extra columns pass through (the added names must be free).
+    hash. Extra columns pass through; those named like an added one are replaced.
     """
+    docs = docs.drop("tie", "hs", "ns", "copy", "_copy", "spans", "n_bytes")
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie"))
@@ -364,19 +366,24 @@ def remove(docs: DataFrame) -> DataFrame:
 
     A character cut in part is dropped as a whole. Columns and their order stay.
     """
-    spans = removed_spans(docs)
-    schema = docs.schema
+    aside = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, copy, span in zip(batch.column("text"), batch.column("copy"), batch.column("spans"), strict=True):
+            for text, copy, span in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 value = text.as_py()
-                texts.append(None if value is None else cut(value.encode(), span.as_py(), copy.as_py())[0].decode(errors="ignore"))
-            columns = {n: batch.column(n) for n in schema.names} | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in columns:
-                sizes = [None if t is None else len(t) for t in texts]
-                columns["n_chars"] = pa.array(sizes, pa.int64()).cast(columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([columns[n] for n in schema.names], schema.names)
-
-    return spans.select(*schema.names, "copy", "spans").mapInArrow(run, schema)
+                kept = None if value is None else cut(value.encode(), span.as_py(), copy.as_py())[0]
+                texts.append(None if kept is None else kept.decode(errors="ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "kept"])
+
+    schema = StructType([StructField("row", aside.schema["row"].dataType), StructField("kept", StringType())])
+    out = removed_spans(aside).select("row", "text", "copy", "spans").mapInArrow(run, schema)
+    return with_text(out, docs, F.col("kept"))
+
+
+def with_text(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of ``docs`` out of the struct ``row`` with a new text and its length as n_chars."""
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    new = {"text": text, "n_chars": F.length(text).cast(kinds.get("n_chars", "long"))}
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

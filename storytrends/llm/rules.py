@@ -26,6 +26,10 @@ REPEAT_PERCENT = 50
 #: A document goes if more than this share of its line characters is removed.
 LOST_SHARE = 0.5
 
+ADDED = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "clean_text", "kept",
+)
+
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
@@ -53,10 +57,11 @@ def apply_rules(docs: DataFrame, lost_share: float = LOST_SHARE) -> DataFrame:
     """``docs`` with the counts, base_failed, kept, lost_chars and clean_text.
 
     A null or blank text has no words, fails the base rules and is not kept. Rows are
-    independent, so ids may repeat; other columns pass through unread (the names of the
-    added columns and those starting with ``_r_`` must be free). Every step that is used twice is a
-    column of its own, so that Spark evaluates it once.
+    independent, so ids may repeat; other columns pass through unread, and those named like
+    an added one are replaced. Every step that is used twice is a column of its own, so
+    that Spark evaluates it once.
     """
+    docs = docs.drop(*ADDED, *[c for c in docs.columns if c.startswith("_r_")])
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("_r_words", words_of(text)).withColumn("_r_lines", F.split(text, "\n", -1))
     i = F.col("_r_words")
