@@ -67,9 +67,10 @@ def throw(elements, weights, owner, open_sets, limit, k) -> tuple[np.ndarray, np
         seed = mix(element * PRIME + strip)
         arrived = np.zeros(len(seed))
         seeds, width, of = seed, weight, holder
-        n = np.uint64(1)
+        step = np.array([0], np.uint64)
         while len(seeds):
-            dart = mix(seeds + n * OTHER)
+            step = step + OTHER
+            dart = mix(seeds + step)
             arrived = arrived - np.log(((dart >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / (high - low)
             live = arrived < limit[of]
             seeds, width, of, arrived, dart = seeds[live], width[live], of[live], arrived[live], dart[live]
@@ -77,7 +78,6 @@ def throw(elements, weights, owner, open_sets, limit, k) -> tuple[np.ndarray, np
             ranks.append(arrived[inside])
             darts.append(dart[inside])
             holders.append(of[inside])
-            n += np.uint64(1)
         more = weight > high
         element, weight, holder = element[more], weight[more], holder[more]
         low, high, strip = high, high * 2, strip + np.uint64(1)

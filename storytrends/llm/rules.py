@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storytrends.operators.rows import with_computed
+
 #: White space of the word rule, and the marks that count as symbols (fixed values).
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -131,4 +133,7 @@ def apply_rules(docs: DataFrame, lost_share: float = LOST_SHARE) -> DataFrame:
         F.array_join("_r_clean", "\n").alias("clean_text"),
     )
     kept = ~F.col("base_failed") & (F.col("lost_chars") <= F.col("_r_all") * lost_share)
-    return out.withColumn("kept", kept).drop("_r_all")
+    out = out.withColumn("kept", kept)
+    # A filter on a verdict must not be pushed below the steps: it would repeat them all.
+    whole = with_computed(out.select(*docs.columns, F.struct(*ADDED).alias("_r_found")), "_r_row", F.col("_r_found"))
+    return whole.select(*docs.columns, "_r_row.*")
