@@ -240,6 +240,8 @@ def settled(batches: Iterator[pa.RecordBatch], last_level: bool) -> Iterator[pa.
             if more is not None:
                 out.append((doc, tie, more, None, None, None))
             if text in group:
+                if group[text][:3] == (doc, tie, first):  # the same row of the input again
+                    continue
                 whole = np.array([first, first + len(text) - LENGTH], np.int64)
                 out.append((doc, tie, whole.tobytes(), None, None, None))
             else:

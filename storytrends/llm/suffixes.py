@@ -28,6 +28,8 @@ def words_of(data: np.ndarray) -> np.ndarray:
 
 def regroup(group: np.ndarray, character: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Split groups by a character: (new group, members) sorted, without those left alone."""
+    if not len(members):
+        return group, members
     order = np.lexsort((character, group))
     group, character, members = group[order], character[order], members[order]
     new = np.append(True, (group[1:] != group[:-1]) | (character[1:] != character[:-1]))
