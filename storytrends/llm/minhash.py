@@ -8,8 +8,9 @@ probability of their weighted Jaccard similarity, and only about k log k darts a
 per set, however many elements it has.
 
 Bands of the signatures bring candidates together. Equal texts are one class beforehand;
-the members of a bucket are compared with its smallest document, and buckets that still
-hold unlinked documents are compared in blocks. Classes are connected components.
+the members of a bucket are compared with its first document, those left over with its
+last, and buckets that still hold several components are compared in blocks. Classes are
+connected components.
 """
 
 from __future__ import annotations
@@ -178,49 +179,65 @@ def verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def cross_links(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
+def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """key, doc_id and label of the members of buckets that hold several components, written."""
+    labels = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    known = members.join(labels, "doc_id", "left")
+    known = written(known.withColumn("label", F.coalesce("label", "doc_id")).select("key", "doc_id", "label"), "known")
+    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return written(lookup(known, mixed.select("key"), "key"), "mixed")
+
+
+def last_edges(mixed: DataFrame) -> DataFrame:
+    """Members of other components than the last document of their bucket, with that document."""
+    last = mixed.groupBy("key").agg(F.max(F.struct("doc_id", "label")).alias("last"))
+    other = lookup(mixed, last, "key").filter((F.col("label") != F.col("last.label")))
+    return other.select(F.col("doc_id").alias("a"), F.col("last.doc_id").alias("b")).distinct()
+
+
+def cross_links(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links inside buckets between documents that lie in different components so far.
 
-    Members of such a bucket are dealt to blocks of about CHUNK; each pair of blocks is one
-    tile that compares its pairs of different components and returns links, not pairs.
+    Members of a bucket's most frequent component are linked among themselves already; only
+    the others, its strays, are compared with everyone. Strays are dealt to blocks of about
+    CHUNK. Each block of strays meets each block of members in one tile, which compares
+    pairs of different components and returns links, not pairs.
     """
-    known = members.select("key", "doc_id").join(labels, "doc_id", "left")
-    known = written(known.withColumn("label", F.coalesce("label", "doc_id")), "known")
-    mixed = known.groupBy("key").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")
-    ).filter("lo <> hi").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("blocks"))
-    left = written(lookup(known, mixed, "key"), "mixed")
-    if not left.limit(1).count():
-        return None
-    # Buckets of the same documents need one comparison: keep one key per content.
-    left = left.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    tiles = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "label"
+    # Buckets of the same documents need one comparison: one key per content stays.
+    content = mixed.groupBy("key").agg(F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n"))
+    content = content.groupBy("s", "n").agg(F.min("key").alias("key"))
+    shares = mixed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("share"))
+    main = shares.groupBy("key").agg(F.max(F.struct("share", "label")).alias("m"), F.sum("share").alias("size"))
+    blocks = F.ceil(F.col("size") / CHUNK).cast("int").alias("blocks")
+    strays = F.ceil((F.col("size") - F.col("m.share")) / CHUNK).cast("int").alias("stray_blocks")
+    plan = main.join(content.select("key"), "key").select("key", F.col("m.label").alias("main"), blocks, strays)
+    rows = written(lookup(mixed, plan, "key"), "strays")
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    stray_block = F.pmod(F.xxhash64("doc_id"), F.col("stray_blocks")).cast("int")
+    every = rows.select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("low"), block.alias("high"), F.lit(1).alias("side"), "doc_id", "label"
+    )
+    own = rows.filter(F.col("label") != F.col("main")).select(
+        "key", stray_block.alias("low"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("high"), F.lit(0).alias("side"), "doc_id", "label"
     )
-    content = written(
-        left.groupBy("key").agg(F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n"))
-        .groupBy("s", "n").agg(F.min("key").alias("key")).select("key"),
-        "contents",
-    )
-    rows = tiles.join(content, "key", "left_semi").join(sets, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, links = None, [], []
+        at, held = None, []
         for batch in batches:
-            for key, low, high, block, doc, label, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            links = []
+            for key, low, high, side, doc, label, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if at != (key, low, high):
                     at, held = (key, low, high), []
-                own = np.frombuffer(data, np.uint64)
-                for other_block, other, other_label, found in held:
-                    if other_label != label and (low == high or other_block != block) and similarity(own, found) >= threshold:
-                        links.append((doc, other))
-                held.append((block, doc, label, own))
+                found = np.frombuffer(data, np.uint64)
+                if side == 0:
+                    held.append((doc, label, found))
+                    continue
+                links += [(doc, other) for other, own_label, own in held if own_label != label and similarity(found, own) >= threshold]
             columns = list(zip(*links, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
-            links = []
 
-    rows = rows.select("key", "low", "high", "block", "doc_id", "label", "shingles").repartition("key", "low", "high")
-    return rows.sortWithinPartitions("key", "low", "high").mapInArrow(run, "a long, b long")
+    tiles = own.unionByName(every).join(sets, "doc_id").select("key", "low", "high", "side", "doc_id", "label", "shingles")
+    return tiles.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -251,12 +268,12 @@ def near_duplicates(
     sets = written(shingle_sets(docs, members.select("doc_id", "text_hash").distinct()), "sets")
     star = members.filter("doc_id <> lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")).distinct()
     links = written(verified(star, sets, threshold), "links")
-    labels = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-    more = cross_links(members.select("key", "doc_id").distinct(), labels, sets, threshold)
+    members = members.select("key", "doc_id").distinct()
+    mixed = labelled(members, links)
+    links = links.unionByName(written(verified(last_edges(mixed), sets, threshold), "links"))
+    mixed = labelled(mixed.select("key", "doc_id"), links)
+    links = links.unionByName(cross_links(mixed, sets, threshold))
     same = known.filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    edges = links.unionByName(same)
-    if more is not None:
-        edges = edges.unionByName(more)
-    found = components(edges).withColumnsRenamed({"node": "doc_id", "component": "class_id"})
+    found = components(links.unionByName(same)).withColumnsRenamed({"node": "doc_id", "component": "class_id"})
     out = signed.select("doc_id").join(found, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
