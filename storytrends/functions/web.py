@@ -25,6 +25,14 @@ _ENTITIES = (
     ("&nbsp;", " "),
     ("&copy;", "©"),
     ("&middot;", "·"),
+    ("&apos;", "'"),
+    ("&hellip;", "…"),
+    ("&ndash;", "–"),
+    ("&mdash;", "—"),
+    ("&lsquo;", "‘"),
+    ("&rsquo;", "’"),
+    ("&ldquo;", "“"),
+    ("&rdquo;", "”"),
     ("&amp;", "&"),
 )
 
@@ -38,7 +46,22 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.try_parse_url(url, F.lit("HOST")), r"^www\.", "")
 
 
+_NUMERIC = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _numeric_character(entity: Column) -> Column:
+    """The character of a numeric entity; a number that names none stays as it is."""
+    hexadecimal = F.lower(F.substring(entity, 3, 1)) == "x"
+    digits = F.regexp_extract(entity, r"([0-9a-fA-F]+);", 1)
+    code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+    named = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(named, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(entity)
+
+
 def unescape(c: Column) -> Column:
+    """Entities as characters: numeric ones, the named ones below, the ampersand last."""
+    numeric = F.array_distinct(F.regexp_extract_all(c, F.lit(_NUMERIC), F.lit(0)))
+    c = F.aggregate(numeric, c, lambda text, entity: F.replace(text, entity, _numeric_character(entity)))
     for entity, plain in _ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(plain))
     return c
@@ -53,16 +76,18 @@ def page_title(html: Column) -> Column:
     return _plain(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1))
 
 
+def _attribute(html: Column, tag: str, having: str, attribute: str) -> Column:
+    """An attribute of the first ``tag`` with another one, in either order and quoting."""
+    found = rf"""(?is)<{tag}\b(?=[^>]*\b{having})[^>]*\b{attribute}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    return F.concat(F.regexp_extract(html, found, 1), F.regexp_extract(html, found, 2))
+
+
 def meta_content(html: Column, attribute: str, value: str) -> Column:
-    pattern = (
-        rf"""(?is)<meta\b[^>]*\b{attribute}=["']{value}["'][^>]*\bcontent=["']([^"']*)["']"""
-    )
-    return _plain(F.regexp_extract(html, pattern, 1))
+    return _plain(_attribute(html, "meta", rf"""{attribute}\s*=\s*["']{value}["']""", "content"))
 
 
 def canonical_url(html: Column) -> Column:
-    pattern = r"""(?is)<link\b[^>]*\brel=["']canonical["'][^>]*\bhref=["']([^"']*)["']"""
-    return F.regexp_extract(html, pattern, 1)
+    return unescape(_attribute(html, "link", r"""rel\s*=\s*["']canonical["']""", "href"))
 
 
 def main_text(html: Column, min_words: int = 5) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .explore import by_month, month_range, named_month
 
 COUNTS = ("articles", "points", "comments")
@@ -68,24 +69,26 @@ def topic_popularity(
     return with_score(topic_month_shares(counts, totals))
 
 
-def topic_month_dense(popularity: DataFrame) -> DataFrame:
+def calendar(months: DataFrame) -> DataFrame:
+    """``month``: every month from the first to the last one of ``months``."""
+    day = F.to_date(F.concat("month", F.lit("-01")))
+    return month_range(months.agg(F.min(day).alias("_lo"), F.max(day).alias("_hi")), F.col("_lo"), F.col("_hi")).select("month")
+
+
+def topic_month_dense(popularity: DataFrame, months: DataFrame | None = None) -> DataFrame:
     """The popularity of every topic in every month, zeros where it has no story.
 
-    The months of a topic, at most one row each, become a map that the calendar looks
-    its values up in, so the stories are read once.
+    The months span those of ``months`` (a ``month`` column), by default those with a
+    story of any topic. The months of a topic, at most one row each, become a map that the
+    calendar, one short list of all months, looks its values up in.
     """
+    if months is None:
+        popularity = months = cut_lineage(popularity, "popularity")  # read for the cells and for the span
     values = [c for c in popularity.columns if c not in ("topic", "month")]
-    day = F.to_date(F.concat("month", F.lit("-01")))
     cell = F.struct("month", F.struct(*values))
-    topics = popularity.groupBy("topic").agg(
-        F.map_from_entries(F.collect_list(cell)).alias("_cells"),
-        F.min(day).alias("_lo"),
-        F.max(day).alias("_hi"),
-    )
-    # One row per topic is left here.
-    every = Window.partitionBy()
-    lo, hi = F.min("_lo").over(every).alias("_lo"), F.max("_hi").over(every).alias("_hi")
-    grid = month_range(topics.select("topic", "_cells", lo, hi), F.col("_lo"), F.col("_hi"))
+    topics = popularity.groupBy("topic").agg(F.map_from_entries(F.collect_list(cell)).alias("_cells"))
+    span = calendar(months).agg(F.array_sort(F.collect_list("month")))
+    grid = topics.withColumn("_months", span.scalar()).select("topic", "_cells", F.explode("_months").alias("month"))
     cells = grid.select("topic", "month", F.col("_cells")[F.col("month")].alias("_cell"))
     filled = (F.coalesce(F.col(f"_cell.{c}"), F.lit(0)).alias(c) for c in values)
     return cells.select("topic", "month", *filled)
@@ -113,7 +116,8 @@ def popularity_summary(dense: DataFrame, low: float = 0.0001) -> DataFrame:
     )
 
 
-def topic_series(dense: DataFrame, topic: int, topics: int = 1000) -> DataFrame:
-    if not 0 <= topic < topics:
-        raise ValueError(f"topic must be in 0..{topics - 1}")
+def topic_series(dense: DataFrame, topic: int, topics: int | None = None) -> DataFrame:
+    """The months of one topic; unknown ones have none. ``topics`` bounds the number if given."""
+    if topic < 0 or topics is not None and topic >= topics:
+        raise ValueError(f"topic must be in 0..{'' if topics is None else topics - 1}")
     return dense.filter(F.col("topic") == topic).select("month", *COUNTS)

@@ -32,8 +32,11 @@ _DIGITS = 9
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors as rows; a null vector is a row of zeros."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if column.null_count:
+        column = pc.fill_null(column, pa.scalar([0.0] * dim, column.type))
     sizes = pc.list_value_length(column)
     if len(column) and not pc.all(pc.equal(sizes, dim)).as_py():
         raise ValueError("vectors of unequal size")
@@ -61,6 +64,24 @@ def negative_distances(points: np.ndarray, targets: np.ndarray) -> np.ndarray:
     return cross - (points**2).sum(axis=1)[:, None] - (targets**2).sum(axis=1)[None, :]
 
 
+def _nearest(points: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest target of each point and its negated squared distance.
+
+    The expansion of the square only shortlists: distances that lie within its rounding
+    error, relative to the lengths, are computed again as they stand, so that only
+    equal ones tie. The first of those wins.
+    """
+    rough = negative_distances(points, targets)
+    slack = 1e-12 * points.shape[1] * ((points**2).sum(axis=1) + (targets**2).sum(axis=1).max())
+    at = rough.argmax(axis=1)
+    close = rough >= rough.max(axis=1, keepdims=True) - slack[:, None]
+    for row in np.flatnonzero(close.sum(axis=1) > 1):
+        columns = np.flatnonzero(close[row])
+        exact = ((points[row] - targets[columns]) ** 2).sum(axis=1)
+        at[row] = columns[exact.argmin()]
+    return at, -((points - targets[at]) ** 2).sum(axis=1)
+
+
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -223,8 +244,9 @@ def best_match(
     target: str = "target",
     block_numbers: int = BLOCK_NUMBERS,
 ) -> DataFrame:
-    """``id, <target>, score``: the best target of each point.
+    """``id, <target>, score``: the best target of each point, nulls for a point without one.
 
+    A null vector has no target, nor has a zero vector by cosine.
     Targets that fit one block are shipped to every task and points never move; more
     of them are met in tiles, and the best of the tiles wins.
     """
@@ -261,28 +283,26 @@ def best_match(
         return pa.Table.from_batches([batch])
 
     found = left.cogroup(right).applyInArrow(best_of_tile, schema)
-    order = Window.partitionBy(id).orderBy(F.desc("score"), target)
+    order = Window.partitionBy(id).orderBy(F.desc_nulls_last("score"), target)
     ranked = found.withColumn("_rank", F.row_number().over(order))
     return ranked.filter(F.col("_rank") == 1).drop("_rank")
 
 
 def _matched(ids, vectors, names: pa.Array, matrix: np.ndarray, dim: int, score: Score, id, target):
     if not len(names):
-        empty = np.zeros(0, dtype=int)
-        return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(empty)), names, pa.array([], pa.float64())], [id, target, "score"]
-        )
+        none = pa.nulls(len(ids), names.type), pa.nulls(len(ids), pa.float64())
+        return pa.RecordBatch.from_arrays([ids, *none], [id, target, "score"])
     points = _matrix(vectors, dim)
     at, value = np.zeros(len(points), dtype=int), np.zeros(len(points))
-    for part in _slices(len(points), len(names)):
-        scores = _rounded(score(points[part], matrix))
-        at[part] = scores.argmax(axis=1)  # targets are in name order, so the first best wins
-        value[part] = scores.max(axis=1)
-    keep = np.flatnonzero(value > -np.inf)
-    return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(keep)), names.take(pa.array(at[keep])), pa.array(value[keep])],
-        [id, target, "score"],
-    )
+    for part in _slices(len(points), len(names)):  # targets are in name order, so the first best wins
+        if score is negative_distances:
+            at[part], value[part] = _nearest(points[part], matrix)
+        else:
+            scores = _rounded(score(points[part], matrix))
+            at[part], value[part] = scores.argmax(axis=1), scores.max(axis=1)
+    without = (value == -np.inf) | vectors.is_null().to_numpy(zero_copy_only=False)
+    found = names.take(pa.array(at, mask=without))
+    return pa.RecordBatch.from_arrays([ids, found, pa.array(value, mask=without)], [id, target, "score"])
 
 
 def nearest_centre(
@@ -399,6 +419,12 @@ def _segment_sums(matrix: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np
 
 
 def label_vectors(vectors: DataFrame, labels: list[str], word: str = "word") -> DataFrame:
-    """The vectors of label words, as ``label, vector``."""
+    """The vectors of label words, as ``label, vector``; ``unknown_labels`` names the others."""
     known = vectors.filter(F.col(word).isin(labels))
     return known.select(F.col(word).alias("label"), "vector")
+
+
+def unknown_labels(vectors: DataFrame, labels: list[str], word: str = "word") -> list[str]:
+    """Label words without a vector."""
+    known = {r[0] for r in vectors.filter(F.col(word).isin(labels)).select(word).distinct().collect()}
+    return [label for label in labels if label not in known]

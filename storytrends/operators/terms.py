@@ -45,11 +45,17 @@ def term_counts(terms: DataFrame) -> DataFrame:
 
 def vocab_trimmed(counts: DataFrame, drop_top: int = 100, min_count: int = 1) -> DataFrame:
     """Counts without the ``drop_top`` most frequent terms."""
-    top = counts.orderBy(F.desc("n"), "term").limit(drop_top).select("term")
-    if drop_top <= HOT_TERMS:
-        top = F.broadcast(top)
-    kept = counts.join(top, "term", "left_anti")
-    return kept.filter(F.col("n") >= min_count) if min_count > 1 else kept
+    return vocabulary(counts, drop_top, min_count).select("term", "n")
+
+
+def vocabulary(counts: DataFrame, drop_top: int = 100, min_count: int = 1) -> DataFrame:
+    """``term, n, idx`` of the kept terms: all are numbered once, then cut by number.
+
+    The terms before ``drop_top`` are the most frequent ones, and those below
+    ``min_count`` are the last, so the rest stays dense, and the texts are read once.
+    """
+    kept = vocab_index(counts).filter((F.col("idx") >= drop_top) & (F.col("n") >= min_count))
+    return kept.select("term", "n", (F.col("idx") - drop_top).alias("idx"))
 
 
 def vocab_index(vocab: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def topic_peak_month(popularity: DataFrame) -> DataFrame:
     """``topic, month, score`` of the best month; the earliest of equal ones."""
     order = F.struct("score", F.negative(F.unix_date(F.to_date(F.concat("month", F.lit("-01"))))))
@@ -47,31 +46,26 @@ def trend_kind(
     calendar month spikes in ``recurring_years`` years; else ``single``; ``none``
     without a spike. The thresholds are our own.
     """
-    spikes = spike_months(dense, factor).select(
-        "topic",
-        F.substring("month", 6, 2).alias("calendar"),
-        (F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int")).alias(
-            "at"
-        ),
-    )
-    by_topic = Window.partitionBy("topic").orderBy("at")
-    island = F.col("at") - F.row_number().over(by_topic)
-    runs = spikes.withColumn("island", island)
-    run = F.count("*").over(Window.partitionBy("topic", "island"))
-    years = F.count("*").over(Window.partitionBy("topic", "calendar"))
-    found = runs.withColumn("run", run).withColumn("years", years)
-    per_topic = found.groupBy("topic").agg(
-        F.count("*").alias("spikes"), F.max("run").alias("run"), F.max("years").alias("years")
-    )
+    # Months of a topic are few, so its spikes are judged in one list.
+    at = F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int")
+    mean = F.avg("score").over(Window.partitionBy("topic"))
+    spike = (F.col("score") > 0) & (F.col("score") >= factor * mean)
+    marked = dense.select("topic", F.when(spike, at).alias("at"))
+    lists = marked.groupBy("topic").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    # A run of months has one difference between month and place; a calendar month one remainder.
+    islands = F.transform("at", lambda x, i: x - i)
+    months = F.transform("at", lambda x: x % 12)
+    per_topic = lists.select("topic", F.size("at").cast("bigint").alias("spikes"), islands.alias("islands"), months.alias("months"))
+
+    def most(values: str) -> Column:
+        counts = F.transform(values, lambda x: F.size(F.filter(values, lambda y: y == x)))
+        return F.coalesce(F.array_max(counts), F.lit(0)).cast("bigint")
+
+    per_topic = per_topic.select("topic", "spikes", most("islands").alias("run"), most("months").alias("years"))
     kind = (
         F.when(F.col("run") >= long_run, "long-lasting")
         .when(F.col("years") >= recurring_years, "recurring")
         .when(F.col("spikes") > 0, "single")
         .otherwise("none")
     )
-    topics = dense.select("topic").distinct()
-    return topics.join(per_topic, "topic", "left").select(
-        "topic",
-        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("spikes", "run", "years")),
-        kind.alias("kind"),
-    )
+    return per_topic.select("topic", "spikes", "run", "years", kind.alias("kind"))

@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sinks, sources
-from ..functions.text import split_words, token_filter
+from ..functions.text import ascii_normalize, split_words, token_filter
 from ..operators import models as mo
 from ..operators import popularity as pop
 from ..operators import similarity as si
 from ..operators import terms as te
 from ..operators import topics as tp
+from ..operators import explore as ex
 from ..operators.explore import monthly_totals
-from ..operators.filters import nonempty_text, titles_nonempty
+from ..operators.filters import extract_outcomes, nonempty_text, titles_nonempty, webpage_extract
 from ..operators.rows import array_rows
 from ..sinks.page import keywords_json, scores_json
 
@@ -56,14 +57,17 @@ def tokenize_job(
     out: str,
     stop: Iterable[str] = (),
     dictionary: DataFrame | None = None,
+    loose: bool = False,
 ) -> DataFrame:
-    """Filtered words of all story texts, in base form if a dictionary is given."""
-    words = _texts(sources.read_stories(spark, path)).select(
-        "id", split_words(F.col("text")).alias("words")
-    )
+    """Filtered words of all story texts, in base form if a dictionary is given.
+
+    ``loose`` cuts the texts down to ASCII first and keeps words with other signs than letters.
+    """
+    text = ascii_normalize(F.col("text")) if loose else F.col("text")
+    words = _texts(sources.read_stories(spark, path)).select("id", split_words(text).alias("words"))
     if dictionary is not None:
         words = te.term_normalize(words, "id", "words", dictionary)
-    kept = words.select("id", token_filter(F.col("words"), stop).alias("words"))
+    kept = words.select("id", token_filter(F.col("words"), stop, letters_only=not loose).alias("words"))
     sinks.write_tokenized(kept, f"{out}/tokenized")
     return sources.read_tokenized(spark, f"{out}/tokenized")
 
@@ -79,10 +83,15 @@ def lda_job(
     optimizer: str = "online",
     seed: int = 1,
     info: dict | None = None,
+    min_count: int = 1,
 ) -> None:
-    """Topics of tokenized texts: ``topics``, ``clustering``, ``info`` and the model."""
+    """Topics of tokenized texts: ``topics``, ``clustering``, ``info`` and the model.
+
+    ``min_count`` leaves rare terms out of the vocabulary, which the online optimizer
+    keeps on the driver once per topic.
+    """
     counts = te.count_terms(array_rows(tokens, "id", F.col("words"), "term"))
-    vocab = te.vocab_index(te.vocab_trimmed(counts, drop_top))
+    vocab = te.vocabulary(counts, drop_top, min_count)
     vectors = mo.count_vectors(tokens, "id", "words", vocab)
     model = mo.lda_fit(vectors, k, max_iter, optimizer, seed)
     topics = mo.lda_topics(model, vocab, words_per_topic)
@@ -128,13 +137,75 @@ def kmeans_job(
 
 
 def classify_job(
-    spark: SparkSession, path: str, model_path: str, out: str, labels: Iterable[str] = LABELS
-) -> None:
-    """The nearest label word of each title."""
+    spark: SparkSession,
+    path: str,
+    model_path: str,
+    out: str,
+    labels: Iterable[str] = LABELS,
+    synonyms: int = 20,
+) -> list[str]:
+    """The nearest label word of each title, and ``synonyms`` of each label below ``out``_synonyms.
+
+    Titles without a known word have no label. Returns the labels that the model lacks.
+    """
+    labels = list(labels)
     words = sources.word_vectors_of(sources.load_word2vec(model_path))
+    known = si.label_vectors(words, labels)
     vectors = si.title_vectors(_titles(sources.read_stories(spark, path)), words)
-    found = si.classify_nearest_label(vectors, si.label_vectors(words, list(labels)))
-    found.write.mode("errorifexists").parquet(out)
+    si.classify_nearest_label(vectors, known).write.mode("errorifexists").parquet(out)
+    near = si.nearest_words(known.withColumnRenamed("label", "query"), words, synonyms, exclude_self=True)
+    near.write.mode("errorifexists").parquet(f"{out}_synonyms")
+    return si.unknown_labels(words, labels)
+
+
+def topic_report_job(spark: SparkSession, path: str, topics: str, clustering: str, out: str, words: int = 10) -> None:
+    """The two reports of a topic job: the topic matrix, and each title with its topics."""
+    listed = sources.read_topic_words(spark, topics).withColumnRenamed("topicId", "topic")
+    sinks.write_lines(tp.topic_matrix(listed, words).select("block"), f"{out}/matrix")
+    given = spark.read.parquet(clustering).select(
+        F.col("objectID").alias("id"), F.col("topicId").alias("topic"), "probability"
+    )
+    stories = sources.read_stories(spark, path)
+    posts = stories.select(F.col("HNItem.objectID").alias("id"), F.col("HNItem.title").alias("title"))
+    lines = tp.article_topic_lines(posts, given, listed.select("topic").distinct().count())
+    sinks.write_lines(lines.select("line"), f"{out}/titles")
+
+
+def export_job(spark: SparkSession, path: str, url: str, table: str, **options) -> None:
+    """All stories as rows of a relational table."""
+    sinks.write_jdbc(sinks.article_export(sources.read_stories(spark, path)), url, table, **options)
+
+
+def pages_job(spark: SparkSession, posts: DataFrame, pages: DataFrame, out: str) -> None:
+    """Day files of ``posts`` (objectID and the other post columns) with the text of their pages.
+
+    ``pages`` has one row ``objectID, html`` per page that was asked for; a post without
+    one has empty page columns. The outcomes of the pages are counted in ``outcomes``.
+    """
+    asked = posts.select("objectID", "url").join(pages, "objectID")
+    extract_outcomes(asked).write.mode("errorifexists").parquet(f"{out}/outcomes")
+    texts = webpage_extract(posts.select("objectID", "url").join(pages, "objectID", "left"), "objectID")
+    columns = [c for c in texts.columns if c != "objectID"]
+    page = F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in columns)).alias("webpage")
+    joined = posts.select("objectID", F.struct(*posts.columns).alias("HNItem")).join(texts.select("objectID", page), "objectID")
+    sinks.write_daily(joined.select("webpage", "HNItem"), f"{out}/days")
+
+
+def explore_job(spark: SparkSession, path: str, out: str, n: int = 10) -> None:
+    """The exploratory tables: totals, histograms and rankings of authors, domains and stories."""
+    story_facts(sources.read_stories(spark, path)).write.parquet(f"{out}/facts")
+    facts = spark.read.parquet(f"{out}/facts")
+    tables = {
+        "totals": ex.overall_totals(facts),
+        "months": ex.monthly_totals(facts),
+        "days_without_stories": ex.days_without_stories(facts),
+        "upvotes": ex.upvote_hist(facts),
+        "top_stories": ex.top_stories(facts, min_points=0, n=n),
+        "submitters": ex.top_submitters(facts, n=n),
+        "domains": ex.domain_rank_table(facts, n),
+    }
+    for name, found in tables.items():
+        found.write.mode("errorifexists").parquet(f"{out}/{name}")
 
 
 def popularity_job(spark: SparkSession, path: str, clustering: str, topics: str, out: str) -> None:
@@ -147,9 +218,9 @@ def popularity_job(spark: SparkSession, path: str, clustering: str, topics: str,
     totals = monthly_totals(facts)
     found = pop.topic_popularity(facts, assigned, totals)
     found.write.mode("errorifexists").parquet(f"{out}/popularity")
-    dense = pop.topic_month_dense(spark.read.parquet(f"{out}/popularity"))
-    # The arrays are matched by month, so the totals get the months of the grid.
-    months = dense.select("month").distinct().join(totals, "month", "left").na.fill(0)
+    # The arrays are matched by month, so all have the months of all stories.
+    months = pop.calendar(totals).join(totals, "month", "left").na.fill(0)
+    dense = pop.topic_month_dense(spark.read.parquet(f"{out}/popularity"), totals)
     sinks.write_lines(scores_json(months, dense), f"{out}/scores")
     words = sources.read_topic_words(spark, topics).withColumnRenamed("topicId", "topic")
     sinks.write_lines(keywords_json(words), f"{out}/keywords")

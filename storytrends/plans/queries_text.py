@@ -75,7 +75,7 @@ def term_table(spark, root):
 
 def vocabulary(spark, root, min_count=1):
     counts = te.count_terms(term_table(spark, root))
-    return te.vocab_index(te.vocab_trimmed(counts, DROP_TOP, min_count))
+    return te.vocabulary(counts, DROP_TOP, min_count)
 
 
 @query(

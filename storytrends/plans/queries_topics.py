@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import functools
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..functions.vectors import vec_norm
 from ..operators import models as mo
 from ..operators import topics as tp
 from ..operators.filters import titles_nonempty
 from ..operators.terms import term_rows
-from ..sources import word_vectors_of
-from .queries_text import TITLES, TOKENIZED, sentences_sql, vocabulary
+from ..operators.similarity import nearest_centre
+from ..session import scratch_path
+from ..sources import load_word2vec, stop_words, word_vectors_of
+from .queries_text import TITLES, TOKENIZED, VOCAB, sentences_sql, vocabulary
 from .registry import on_corpus, query
-from .views import STOP, article_topics, corpus, filtered_words, tokenized, vectors
+from .views import STOP, article_topics, corpus, filtered_words, table, tokenized, vectors
 from ..functions.text import split_words
 
 _TOPIC_WORDS = f"""{TOKENIZED},
@@ -100,12 +104,15 @@ def article_topic_lines(spark, root):
     return tp.article_topic_lines(titles, article_topics(spark, root), _K)
 
 
-@query(
-    "training_sentences",
-    f"""WITH {TITLES},
+_SENTENCES_SQL = f"""{TITLES},
     every AS (SELECT words FROM titles JOIN corpus USING (id) WHERE title <> '' AND len(words) > 0
               UNION ALL SELECT unnest({sentences_sql('text')}) FROM corpus),
-    filled AS (SELECT list_filter(words, lambda w: w <> '') AS words FROM every)
+    filled AS (SELECT list_filter(words, lambda w: w <> '') AS words FROM every)"""
+
+
+@query(
+    "training_sentences",
+    f"""WITH {_SENTENCES_SQL}
     SELECT array_to_string(words, '|') AS words, count(*) AS n FROM filled WHERE len(words) > 0 GROUP BY 1""",
 )
 def training_sentences(spark, root):
@@ -118,62 +125,146 @@ def _sentences(spark, root):
     return mo.training_sentences(titles_nonempty(docs), docs)
 
 
-# Sizes of the models fitted on the test tables.
-LDA_TOPICS, LDA_ROUNDS, LDA_MIN_COUNT = 8, 10, 3
-WORD_DIM, CLUSTERS = 32, 10
+# Sizes of the models fitted on the test tables; every round reads all texts.
+LDA_TOPICS, LDA_ROUNDS = 10, 5
+LDA_WORDS = 20
+WORD_DIM, WORD_USES, WORD_PARTITIONS, CLUSTERS = 100, 5, 4, 10
+
+_WITH_TERMS = f"""{VOCAB}, with_terms AS (
+  SELECT id, count(*) AS n FROM terms JOIN vocab USING (term) GROUP BY 1)"""
 
 
 @functools.lru_cache(maxsize=8)
 def _lda(spark, root):
     """Vocabulary, count vectors and model, fitted once per session and folder."""
     docs = corpus(spark, root)
-    vocab = vocabulary(spark, root, LDA_MIN_COUNT)
+    vocab = vocabulary(spark, root)
     words = docs.select("id", filtered_words(docs).alias("words"))
     counts = mo.count_vectors(words, "id", "words", vocab)
     return vocab, counts, mo.lda_fit(counts, LDA_TOPICS, LDA_ROUNDS)
 
 
-@query("lda_fit")
+@query(
+    "lda_fit",
+    f"""WITH {_WITH_TERMS} SELECT count(*) AS documents, (SELECT count(*) FROM vocab) AS terms,
+        CAST({LDA_TOPICS} AS BIGINT) AS topics, CAST(0 AS BIGINT) AS violations FROM with_terms""",
+)
 def lda_fit(spark, root):
-    """Articles and mean probability per topic of a fresh fit."""
+    """A fresh fit: texts and terms it covers, topics, and texts whose weights do not sum to one."""
     _lda.cache_clear()
     _, counts, model = _lda(spark, root)
-    best = tp.best_topic(mo.lda_article_topics(model, counts))
-    return best.groupBy("topic").agg(
-        F.count("*").alias("articles"), F.avg("probability").alias("probability")
+    sums = mo.lda_article_topics(model, counts).groupBy("id").agg(F.sum("probability").alias("p"), F.count("*").alias("k"))
+    wrong = (F.abs(F.col("p") - 1) > 1e-6) | (F.col("k") != LDA_TOPICS)
+    return sums.agg(
+        F.count("*").alias("documents"),
+        F.lit(model.vocabSize()).cast("bigint").alias("terms"),
+        F.max("k").alias("topics"),
+        F.count(F.when(wrong, 1)).alias("violations"),
     )
 
 
-@query("lda_topics")
+@query(
+    "lda_topics",
+    f"""SELECT CAST(unnest(range({LDA_TOPICS})) AS INTEGER) AS topic, CAST({LDA_WORDS} AS BIGINT) AS words,
+        CAST(0 AS BIGINT) AS violations""",
+)
 def lda_topics(spark, root):
+    """Per topic the words listed, and those out of order, without weight or not in the vocabulary."""
     vocab, _, model = _lda(spark, root)
-    return mo.lda_topics(model, vocab, 20)
+    listed = mo.lda_topics(model, vocab, LDA_WORDS)
+    before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
+    known = vocab.select(F.col("term").alias("word"), F.lit(True).alias("known"))
+    judged = listed.withColumn("before", before).join(known, "word", "left")
+    wrong = (F.col("weight") > F.col("before")) | (F.col("weight") <= 0) | F.col("known").isNull()
+    return judged.groupBy("topic").agg(F.count("*").alias("words"), F.count(F.when(wrong, 1)).alias("violations"))
 
 
-@query("lda_article_topics")
+@query(
+    "lda_article_topics",
+    f"WITH {_WITH_TERMS} SELECT id, TRUE AS above, TRUE AS ordered FROM with_terms",
+)
 def lda_article_topics(spark, root):
+    """Texts with a topic: their kept topics reach 1/k, and the first one is the best."""
     _, counts, model = _lda(spark, root)
-    return tp.top_topics(mo.lda_article_topics(model, counts), LDA_TOPICS)
+    every = mo.lda_article_topics(model, counts)
+    kept = tp.top_topics(every, LDA_TOPICS).groupBy("id").agg(F.min("probability").alias("least"), F.max("probability").alias("most"))
+    best = tp.best_topic(every).select("id", F.col("probability").alias("best"))
+    return kept.join(best, "id").select(
+        "id", (F.col("least") >= 1 / LDA_TOPICS).alias("above"), (F.col("most") == F.col("best")).alias("ordered")
+    )
 
 
-@query("lda_likelihood")
+@query("lda_likelihood", f"WITH {_WITH_TERMS} SELECT count(*) AS documents, TRUE AS below_zero FROM with_terms")
 def lda_likelihood(spark, root):
-    """Documents and mean log likelihood."""
+    """Documents, and whether their mean log likelihood is a finite number below zero."""
     _, counts, model = _lda(spark, root)
     value = mo.lda_likelihood(model, counts)
-    return counts.agg(F.count("*").alias("documents")).withColumn("likelihood", F.lit(value))
+    return counts.agg(F.count("*").alias("documents")).withColumn("below_zero", F.lit(-1e9 < value < 0))
 
 
-@query("word2vec_fit")
+_TRAINED = f"""WITH {_SENTENCES_SQL}, used AS (SELECT unnest(words) AS word FROM filled)
+SELECT word, TRUE AS trained FROM used GROUP BY 1 HAVING count(*) >= {WORD_USES}"""
+
+
+@functools.lru_cache(maxsize=8)
+def _word2vec(spark, root):
+    return mo.word2vec_fit(_sentences(spark, root), dim=WORD_DIM, min_count=WORD_USES, partitions=WORD_PARTITIONS)
+
+
+@query("word2vec_fit", _TRAINED)
 def word2vec_fit(spark, root):
-    cores = spark.sparkContext.defaultParallelism
-    model = mo.word2vec_fit(_sentences(spark, root), dim=WORD_DIM, partitions=cores)
-    return word_vectors_of(model).select("word", vec_norm(F.col("vector")).alias("norm"))
+    """Words of the model, and whether their vectors have the size and a length."""
+    _word2vec.cache_clear()
+    words = word_vectors_of(_word2vec(spark, root))
+    trained = (F.size("vector") == WORD_DIM) & (vec_norm(F.col("vector")) > 0)
+    return words.select("word", trained.alias("trained"))
+
+
+@query("word2vec_roundtrip", _TRAINED)
+def word2vec_roundtrip(spark, root):
+    """The model saved and loaded again, compared word by word."""
+    model = _word2vec(spark, root)
+    path = scratch_path(spark, "word2vec")
+    sinks.save_model(model, path)
+    loaded = word_vectors_of(load_word2vec(path)).withColumnRenamed("vector", "loaded")
+    both = word_vectors_of(model).join(loaded, "word")
+    return both.select("word", (F.col("vector") == F.col("loaded")).alias("trained"))
 
 
-@query("kmeans_fit")
+@query(
+    "kmeans_fit",
+    f"SELECT count(*) AS points, CAST({CLUSTERS} AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced FROM embeddings",
+)
 def kmeans_fit(spark, root):
+    """Points and clusters of a fit, and members that lie nearer to another centre."""
     points = vectors(spark, root)
     model = mo.kmeans_fit(points, CLUSTERS)
     members = mo.cluster_members(model, points)
-    return members.groupBy("cluster").agg(F.count("*").alias("members"))
+    near = nearest_centre(points, mo.cluster_centres(model, spark)).withColumnRenamed("cluster", "nearest")
+    return members.join(near, "id").agg(
+        F.count("*").alias("points"),
+        F.count_distinct("cluster").alias("clusters"),
+        F.count(F.when(F.col("cluster") != F.col("nearest"), 1)).alias("misplaced"),
+    )
+
+
+@query(
+    "stop_words_roundtrip",
+    f"WITH {TOKENIZED}, used AS (SELECT DISTINCT unnest(words) AS word FROM tokenized) SELECT word FROM used",
+)
+def stop_words_roundtrip(spark, root):
+    """Every kept word of the texts as a stop list: written, and read as one."""
+    rows = term_rows(corpus(spark, root), "id", split_words(F.col("text")), STOP)
+    path = scratch_path(spark, "stop")
+    rows.select(F.col("term").alias("value")).distinct().write.text(path)
+    return stop_words(spark, path)
+
+
+@query("job_info_roundtrip", "SELECT CAST(count(*) AS BIGINT) AS topics, 'lda' AS name FROM nation")
+def job_info_roundtrip(spark, root):
+    """The record of a job with as many topics as nations, written and read again."""
+    path = scratch_path(spark, "info")
+    topics = table(spark, root, "nation").count()
+    info = {"jobId": 1, "jobName": "lda", "description": "", "numTopics": topics, "maxIterations": 50}
+    sinks.write_job_info(spark, info, path)
+    return spark.read.json(path).select(F.col("numTopics").alias("topics"), F.col("jobName").alias("name"))

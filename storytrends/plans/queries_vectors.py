@@ -221,9 +221,10 @@ def synonyms(spark, root):
 @query(
     "classify_nearest_label",
     f"""WITH {TITLE_VECTORS}, {MEANS.replace(VECTORS + ',', '')}, pairs AS (
-      SELECT id, label, {_SCORE.format('v', 'm')} AS score FROM title_vectors CROSS JOIN means)
-    SELECT id, label, round(score, 6) AS score FROM pairs WHERE isfinite(score)
-    QUALIFY row_number() OVER (PARTITION BY id ORDER BY pairs.score DESC, label) = 1""",
+      SELECT id, label, {_SCORE.format('v', 'm')} AS score FROM title_vectors CROSS JOIN means),
+    best AS (SELECT id, label, score FROM pairs WHERE isfinite(score)
+      QUALIFY row_number() OVER (PARTITION BY id ORDER BY pairs.score DESC, label) = 1)
+    SELECT id, label, round(score, 6) AS score FROM titles LEFT JOIN best USING (id) WHERE len(words) > 0""",
 )
 def classify_nearest_label(spark, root):
     texts = si.title_vectors(titles(spark, root), text_word_table(spark, root))

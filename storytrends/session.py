@@ -81,16 +81,18 @@ def collect_bounded(df: DataFrame, max_rows: int) -> pa.Table | None:
     return df.toArrow() if df.count() <= max_rows else None
 
 
+# Parts that a table of a single scan partition is dealt to.
+ONE_FILE_PARTS = 8
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash ``df`` by ``key`` over all cores if its scan has fewer partitions than cores.
+    """Hash ``df`` by ``key`` if its scan is one partition, whatever the cluster.
 
-    A table in one small file is read by one task, which would then do all the text
-    work behind it. A table of many files is left as it is. ``key`` must be unique.
+    Such a table is at most one split of the reader, and one task would do all the text
+    work behind it. Every other table is left as the reader splits it. ``key`` must be
+    unique.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() > 1 else df.repartition(ONE_FILE_PARTS, key)
 
 
 def vector_size(df: DataFrame, vector: str) -> int:

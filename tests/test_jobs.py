@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from storytrends.plans import jobs
 
@@ -79,3 +80,45 @@ def test_page_documents_fill_missing_topics(spark):
     words = spark.createDataFrame([(0, "a", 0.5), (2, "b", 1.0)], "topic int, word string, weight double")
     document = json.loads(keywords_json(words).first().value)
     assert document == [[{"w": "a", "s": 0.5}], [], [{"w": "b", "s": 1.0}]]
+
+
+def test_stories_outside_all_clusters_keep_their_months(spark, folder, tmp_path):
+    out = str(tmp_path / "one")
+    one = spark.createDataFrame([("2-3", 0)], "objectID string, topicId int")
+    one.write.parquet(f"{out}/clustering")
+    spark.createDataFrame([(0, "w", 1.0)], "topicId int, word string, weight double").write.parquet(f"{out}/topics")
+    jobs.popularity_job(spark, f"{folder}/*", f"{out}/clustering", f"{out}/topics", f"{out}/page")
+    scores = json.loads(spark.read.text(f"{out}/page/scores").first()[0])
+    assert [t["date"] for t in scores["totals"]] == ["2015-01", "2015-02", "2015-03", "2015-04"]
+    assert [t["articles"] for t in scores["totals"]] == [40, 40, 0, 40]
+    assert scores["topicseries"][0]["articles"] == [0, 1, 0, 0]
+
+
+def test_loose_words_and_topic_reports(spark, folder, tmp_path):
+    out = str(tmp_path / "loose")
+    tokens = jobs.tokenize_job(spark, f"{folder}/*", out, ["machine"], loose=True)
+    jobs.lda_job(spark, tokens, out, K, 5, drop_top=1, words_per_topic=5)
+    jobs.topic_report_job(spark, f"{folder}/*", f"{out}/topics", f"{out}/clustering", f"{out}/report")
+    assert spark.read.text(f"{out}/report/matrix").filter("value LIKE 'TOPIC%'").count() == K
+    assert spark.read.text(f"{out}/report/titles").count() == 120
+
+
+def test_explore_and_pages_jobs(spark, folder, tmp_path):
+    jobs.explore_job(spark, f"{folder}/*", str(tmp_path / "explore"), 3)
+    assert spark.read.parquet(str(tmp_path / "explore" / "submitters")).count() == 3
+    stories = jobs.sources.read_stories(spark, f"{folder}/*")
+    posts = stories.select("HNItem.*").withColumn("url", F.concat(F.lit("http://x/"), "objectID"))
+    html = "<html><head><title>T</title></head><body><p>five words are enough here</p></body></html>"
+    pages = posts.limit(7).select("objectID", F.lit(html).alias("html"))
+    jobs.pages_job(spark, posts, pages, str(tmp_path / "pages"))
+    outcomes = {r.outcome: r.n for r in spark.read.parquet(str(tmp_path / "pages" / "outcomes")).collect()}
+    assert outcomes == {"success": 7}
+    days = spark.read.json(str(tmp_path / "pages" / "days"))
+    assert days.count() == 120 and days.filter("webpage.cleanedText = 'five words are enough here'").count() == 7
+
+
+def test_export_job_rows(spark, folder, monkeypatch):
+    seen = []
+    monkeypatch.setattr(jobs.sinks, "write_jdbc", lambda df, url, table, **o: seen.append((df.count(), len(df.columns), table)))
+    jobs.export_job(spark, f"{folder}/*", "jdbc:none", "articles")
+    assert seen == [(120, 12, "articles")]

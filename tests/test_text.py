@@ -210,3 +210,28 @@ def test_suffix_rules(spark):
 
 def test_white_space_matches_the_pattern():
     assert all(re.fullmatch(r"\s", c, re.ASCII) for c in tx.WHITE_SPACE)
+
+
+def test_meta_tags_in_either_order_and_entities(spark):
+
+    rows = [
+        ("<meta name='description' content=\"it's &#233;t&#xE9; &amp;#39;\">",),
+        ('<meta content="it\'s &#233;t&#xE9; &amp;#39;" data-x="1" name="description"/>',),
+        ("<meta content='other' name='else'><p>",),
+    ]
+    page = spark.createDataFrame(rows, "html string")
+    found = [r[0] for r in page.select(web.meta_content(F.col("html"), "name", "description")).collect()]
+    assert found == ["it's été &#39;", "it's été &#39;", ""]
+    link = spark.createDataFrame([("<link href='http://a/?x=1&amp;y=2' rel='canonical'>",)], "html string")
+    assert link.select(web.canonical_url(F.col("html"))).first()[0] == "http://a/?x=1&y=2"
+    odd = spark.createDataFrame([("&#1114112; &#xD800; &#0; &#128512; &mdash;",)], "t string")
+    assert odd.select(web.unescape(F.col("t"))).first()[0] == "&#1114112; &#xD800; &#0; 😀 —"
+
+
+def test_vocabulary_reads_the_texts_once(spark):
+    counts = spark.createDataFrame([(f"t{i}", i % 7 + 1) for i in range(50)], "term string, n long")
+    found = te.vocabulary(counts, 5, 3).orderBy("idx").collect()
+    every = sorted(counts.collect(), key=lambda r: (-r.n, r.term))[5:]
+    assert [(r.term, r.n, r.idx) for r in found] == [(r.term, r.n, i) for i, r in enumerate(r for r in every if r.n >= 3)]
+    plan = te.vocab_trimmed(counts, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" not in plan

@@ -52,8 +52,17 @@ def test_dense_grid_and_arrays(few):
     assert dense.count() == 2 * 4
     arrays = {r.topic: (r.articles, r.points, r.comments) for r in pop.topic_series_arrays(dense).collect()}
     assert arrays == {0: ([1, 0, 1, 0], [10, 0, 0, 0], [0, 0, 5, 0]), 1: ([1, 0, 0, 1], [30, 0, 0, 7], [0, 0, 0, 1])}
+    assert pop.topic_series(dense, 1000).count() == 0
     with pytest.raises(ValueError):
-        pop.topic_series(dense, 1000)
+        pop.topic_series(dense, 1000, 1000)
+
+
+def test_dense_grid_of_all_months_without_one_task(few):
+    found = pop.topic_popularity(few)
+    months = ex.monthly_totals(few).select("month").unionByName(few.sparkSession.createDataFrame([("2014-11",), ("2015-12",)], "month string"))
+    dense = pop.topic_month_dense(found, months)
+    assert dense.agg(F.min("month"), F.max("month")).first()[:] == ("2014-11", "2015-12")
+    assert dense.count() == 2 * 14
 
 
 def test_scores_of_a_month_add_up_to_one(spark, tables):

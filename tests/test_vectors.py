@@ -97,7 +97,7 @@ def test_nearest_centre_equals_brute_force(spark, words, block_numbers):
     got = {r.id: r.cluster for r in found.collect()}
     expected = {}
     for name, v in words:
-        distance = [(round(sum((x - y) ** 2 for x, y in zip(v, c)), 9), k) for k, c in centres]
+        distance = [(sum((x - y) ** 2 for x, y in zip(v, c)), k) for k, c in centres]
         expected[name] = min(distance)[1]
     assert got == expected
 
@@ -110,8 +110,21 @@ def test_classify_nearest_label(spark, words, block_numbers):
     )
     got = {r.id: r.label for r in found.collect()}
     expected = brute_nearest(words, labels, 1)
-    assert got == {k: v[0] for k, v in expected.items() if v}
-    assert got["copy001"] == "a" and "zero" not in got
+    assert got == {k: v[0] if v else None for k, v in expected.items()}
+    assert got["copy001"] == "a" and got["zero"] is None
+
+
+@pytest.mark.parametrize("block_numbers", [10**6, 2])
+def test_nearest_centre_of_small_and_missing_vectors(spark, block_numbers):
+    points = named(spark, [("a", [1e-5, 0.0]), ("b", [1e6 + 0.25, 1.0]), ("none", None)], "id")
+    centres = named(spark, [(0, [0.0, 0.0]), (1, [1e-5, 0.0]), (2, [1e6, 1.0]), (3, [1e6 + 0.5, 1.0])], "cluster", "int")
+    found = si.nearest_centre(points, centres, block_numbers=block_numbers).collect()
+    assert {r.id: r.cluster for r in found} == {"a": 1, "b": 2, "none": None}
+
+
+def test_unknown_labels_are_named(spark, words):
+    table = named(spark, words, "word")
+    assert si.unknown_labels(table, [words[0][0], "no such word"]) == ["no such word"]
 
 
 @pytest.mark.parametrize("block_numbers", [10**6, 1])
