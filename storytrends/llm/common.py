@@ -24,8 +24,8 @@ def union(frames: list[DataFrame]) -> DataFrame:
 def hot_keys(df: DataFrame, key: str) -> list:
     """Keys that hold more than HOT_SHARE of the rows: fewer than 1 / HOT_SHARE by construction."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("_all")))
-    hot = counts.filter(F.col("_n") > 1).join(total, F.col("_n") > F.col("_all") * HOT_SHARE)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    hot = counts.filter((F.col("_n") > 1) & (F.col("_n") > total * HOT_SHARE))
     return [r[0] for r in hot.select(key).collect()]
 
 

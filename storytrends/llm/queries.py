@@ -73,3 +73,38 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archive")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.page_captures(spark, path)
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_FAILS = f"""((n >= 8 AND NOT regexp_matches(line, {_quoted(rules.SENTENCE)}))
+  OR (length(line) - length(translate(line, '{rules.SYMBOLS}', ''))) * 10 > length(line)
+  OR regexp_matches(line, {_quoted(rules.SHOUT)}) OR regexp_matches(line, {_quoted(rules.MENU)})
+  OR regexp_matches(line, {_quoted(rules.BOILERPLATE)}) OR (n >= 10 AND distinct_words * 4 < n))"""
+
+SQL["op3_quality_rules"] = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts),
+grams AS (SELECT doc_id, list_transform(range(1, len(w) - 1), lambda p: w[p] || ' ' || w[p + 1] || ' ' || w[p + 2]) AS g
+          FROM split WHERE len(w) >= 3),
+placed AS (SELECT doc_id, unnest(g) AS g, unnest(range(1, len(g) + 1)) AS p FROM grams),
+twice AS (SELECT doc_id, p FROM placed QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY 1),
+cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts),
+measured AS (SELECT doc_id, line, len(string_split_regex(trim(line), '[\x20\x09-\x0D]+')) AS n,
+                    len(list_distinct(string_split_regex(trim(line), '[\x20\x09-\x0D]+'))) AS distinct_words FROM cut),
+judged AS (SELECT doc_id, line, {_FAILS} AS failed FROM measured),
+lines AS (SELECT doc_id, sum(length(line)) AS size, coalesce(sum(length(line)) FILTER (failed), 0) AS lost,
+                 count(line) FILTER (worded) - count(DISTINCT line) FILTER (worded) AS dup
+          FROM (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded FROM judged) GROUP BY 1),
+counted AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(translate(text, '{rules.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+  CAST(dup AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+  CAST(lost AS BIGINT) AS lost_chars, size
+  FROM split JOIN lines USING (doc_id) LEFT JOIN covered c USING (doc_id)),
+based AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.REPEAT_PERCENT} * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars,
+  NOT base_failed AND lost_chars <= size * {rules.LOST_SHARE} AS kept FROM based"""

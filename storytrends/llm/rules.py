@@ -21,7 +21,8 @@ BOILERPLATE = (
     r"|terms of (use|service)|cookie (policy|settings)|accept cookies|enable javascript|subscribe to our|sign up for)\b|©"
 )
 MENU = r"\|[^|]*\||\s[»›>]\s.*\s[»›>]\s|^\s*(home|menu|next|previous|back|share|login|log in)\s*$|\|\s*$"
-SHOUT = r"!!|\?\?|(?:\b\p{Lu}{2,}\b[^\p{Ll}]*){5,}"
+#: Doubled marks, or five words in capitals in a row.
+SHOUT = r"!!|\?\?|(^|\s)(\p{Lu}{2,}[^\p{Ll}\s]*\s+){4}\p{Lu}{2,}"
 SENTENCE = r"[.!?…。](\s|$|[\"'”’»)\]])|[:;]\s*$"
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
