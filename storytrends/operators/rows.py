@@ -20,3 +20,12 @@ def array_rows(df: DataFrame, keep: str, array: Column, name: str) -> DataFrame:
 def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with ``value`` as a column that later filters can use as it is."""
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def row_keyed(df: DataFrame, id: str, *columns: str) -> DataFrame:
+    """``_key`` and ``columns``: the id with a number of its own for each row.
+
+    Steps that group exploded rows again use it, so that rows of one id stay apart.
+    """
+    key = F.struct(F.col(id).alias("id"), F.monotonically_increasing_id().alias("row"))
+    return df.select(key.alias("_key"), *columns)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import zeros
 from ..session import collect_bounded, cut_lineage, vector_size
-from .rows import array_rows, with_computed
+from .rows import array_rows, row_keyed, with_computed
 
 # Numbers in one block of vectors that a task holds or receives: 64 MB of doubles.
 BLOCK_NUMBERS = 8_000_000
@@ -358,15 +358,18 @@ def title_vectors(
     """``id, vector``: the sum of the known word vectors over the number of all words.
 
     Word vectors that fit one block go to every task and texts never move; a bigger
-    table is joined. Texts without words are left out.
+    table is joined. Texts without words are left out, null words count as none, and
+    rows stay rows, also if ids repeat. Of a word that repeats the least vector counts.
     """
     dim = vector_size(vectors, "vector") if dim is None else dim
-    texts = with_computed(df.select(id, words), "_words", F.col(words))
+    vectors = vectors.groupBy(word).agg(F.min("vector").alias("vector"))
+    texts = with_computed(df.select(id, words), "_words", F.filter(words, lambda w: w.isNotNull()))
     texts = texts.filter(F.size("_words") > 0).select(id, F.col("_words").alias("words"))
     small = collect_bounded(vectors.select(word, "vector"), block_numbers // max(dim, 1))
     if small is None:
-        rows = array_rows(texts, id, F.col("words"), word)
-        return mean_vectors(rows, cut_lineage(vectors.select(word, "vector"), "words"), id, word, dim)
+        rows = array_rows(row_keyed(texts, id, "words"), "_key", F.col("words"), word)
+        found = mean_vectors(rows, cut_lineage(vectors.select(word, "vector"), "words"), "_key", word, dim)
+        return found.select(F.col("_key.id").alias(id), "vector")
     shipped = df.sparkSession.sparkContext.broadcast(
         (small.column(0).combine_chunks(), _matrix(small.column(1), dim))
     )

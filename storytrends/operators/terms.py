@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import suffix_base, token_filter
 from ..session import collect_bounded, cut_lineage
-from .rows import array_rows
+from .rows import array_rows, row_keyed
 
 # Rows of the vocabulary that may go to every task: some tens of megabytes.
 HOT_TERMS = 500_000
@@ -92,6 +92,7 @@ def bag_of_words(
 ) -> DataFrame:
     """``id, idx, n``: the count of each vocabulary term in each document.
 
+    Every row of ``df`` is a document, also if ids repeat.
     The vocabulary is ordered by count, so its first ``hot_terms`` rows hold every
     term that could make a join key hot. They go to every task and are counted in
     place, without a shuffle. Only the rare terms behind them are joined by shuffle,
@@ -107,9 +108,10 @@ def bag_of_words(
     cold = vocab.filter(F.col("idx") >= hot_terms)
     if cold.isEmpty():
         return bag
-    rows = array_rows(df, id, F.col(words), "term")
+    rows = array_rows(row_keyed(df, id, words), "_key", F.col(words), "term")
     rare = rows.join(F.broadcast(hot.select("term")), "term", "left_anti").join(cold, "term")
-    return bag.unionByName(rare.groupBy(id, "idx").agg(F.count("*").alias("n")))
+    rare = rare.groupBy("_key", "idx").agg(F.count("*").alias("n"))
+    return bag.unionByName(rare.select(F.col("_key.id").alias(id), "idx", "n"))
 
 
 def count_in_place(texts: DataFrame, vocab: pa.Table) -> DataFrame:
@@ -161,11 +163,13 @@ def term_normalize(
 ) -> DataFrame:
     """``id, words`` with every word replaced by its base form, order kept.
 
-    ``dictionary`` holds ``form, base`` with unique forms. Words it lacks go through
-    ``rules``. A dictionary of at most ``max_rows`` goes to every task and replaces
+    ``dictionary`` holds ``form, base``; of a form that repeats the least base counts.
+    Words it lacks go through ``rules``; null lists and words stay null, and rows stay
+    rows, also if ids repeat. A dictionary of at most ``max_rows`` goes to every task and replaces
     words in place, without a shuffle; a bigger one is joined.
     """
     fallback = rules or (lambda w: w)
+    dictionary = dictionary.groupBy("form").agg(F.min("base").alias("base"))
     small = collect_bounded(dictionary.select("form", "base"), max_rows)
     if small is None:
         return _normalize_by_join(df, id, words, dictionary, fallback)
@@ -205,11 +209,13 @@ def _normalize_by_join(
     # Adaptive splitting of hot words needs a side without an aggregate behind its
     # shuffle, so the dictionary, often the result of one, is written first.
     entries = cut_lineage(dictionary.select(F.col("form").alias("word"), "base"), "dictionary")
-    rows = df.select(id, F.posexplode_outer(words).alias("pos", "word"))
+    keyed = row_keyed(df, id, words).withColumn("_null", F.col(words).isNull())
+    rows = keyed.select("_key", "_null", F.posexplode_outer(words).alias("pos", "word"))
     based = rows.join(entries, "word", "left").select(
-        id, "pos", F.coalesce("base", fallback(F.col("word"))).alias("base")
+        "_key", "_null", "pos", F.coalesce("base", fallback(F.col("word"))).alias("base")
     )
     # One list holds the words of one document, which came as one row.
     kept = F.when(F.col("pos").isNotNull(), F.struct("pos", "base"))
     ordered = F.array_sort(F.collect_list(kept))
-    return based.groupBy(id).agg(F.transform(ordered, lambda x: x["base"]).alias("words"))
+    lists = based.groupBy("_key", "_null").agg(F.transform(ordered, lambda x: x["base"]).alias("words"))
+    return lists.select(F.col("_key.id").alias(id), F.when(~F.col("_null"), F.col("words")).alias("words"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words_to_text
 from ..schema import JOB_INFO
+from ..session import cut_lineage
 
 
 def _write(df: DataFrame, path: str, format: str) -> None:
@@ -65,6 +66,8 @@ def write_daily(
     order = F.struct("HNItem.created_at", "HNItem.objectID") if order is None else order
     partitions = partitions or int(stories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = stories.select("*", day.alias("_day"), order.alias("_order"), day_name(day).alias("file"))
+    # Ranging samples its input first, so what it reads is written once.
+    keyed = cut_lineage(keyed, "stories")
     # The writer needs rows in order of the folder; sorting by it first keeps the rest.
     (
         keyed.repartitionByRange(partitions, "_day", "_order")

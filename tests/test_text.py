@@ -166,9 +166,26 @@ def words_frame(spark):
 def test_term_normalize_in_place_and_joined(spark, max_rows, rules):
     dictionary = spark.createDataFrame([("node", "knot"), ("cats", "feline")], "form string, base string")
     done = te.term_normalize(words_frame(spark), "id", "words", dictionary, rules, max_rows)
-    found = {r.id: r.words or [] for r in done.collect()}
+    found = {r.id: r.words for r in done.collect()}
     run, bus = ("runn", "buse") if rules else ("running", "buses")
-    assert found == {1: [run, "feline", "knot"], 2: [], 3: [], 4: ["knot", "knot", bus]}
+    empty = {r.id: r.words for r in words_frame(spark).collect() if not r.words}
+    assert found == {1: [run, "feline", "knot"], 4: ["knot", "knot", bus], **empty}
+
+
+@pytest.mark.parametrize("max_rows", [0, 1000])
+def test_term_normalize_of_nulls_and_repeats(spark, max_rows):
+    dictionary = spark.createDataFrame([("a", "x"), ("a", "b")], "form string, base string")
+    rows = [(1, ["a", None]), (1, ["a"]), (2, None), (3, [])]
+    done = te.term_normalize(spark.createDataFrame(rows, "id int, words array<string>"), "id", "words", dictionary, None, max_rows)
+    assert sorted(((r.id, r.words) for r in done.collect()), key=str) == sorted([(1, ["b", None]), (1, ["b"]), (2, None), (3, [])], key=str)
+
+
+@pytest.mark.parametrize("hot_terms", [0, 1, 1000])
+def test_bag_of_words_of_repeated_ids(spark, hot_terms):
+    vocab = spark.createDataFrame([("a", 0), ("b", 1)], "term string, idx long")
+    rows = spark.createDataFrame([(1, ["a", "b", "b"]), (1, ["b"]), (2, None)], "id int, words array<string>")
+    found = sorted(map(tuple, te.bag_of_words(rows, "id", "words", vocab, hot_terms).collect()))
+    assert found == [(1, 0, 1), (1, 1, 1), (1, 1, 2)]
 
 
 def terms_frame(spark):

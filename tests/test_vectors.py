@@ -162,3 +162,11 @@ def test_group_means_and_unknown_words(spark):
 def test_label_vectors(spark, words):
     found = si.label_vectors(named(spark, words, "word"), ["w001", "missing"]).collect()
     assert [(r.label, r.vector) for r in found] == [words[1]]
+
+
+@pytest.mark.parametrize("block_numbers", [10**6, 1])
+def test_title_vectors_of_nulls_and_repeats(spark, block_numbers):
+    table = named(spark, [("a", [2.0, 0.0]), ("a", [1.0, 0.0]), ("b", [0.0, 4.0])], "word")
+    rows = spark.createDataFrame([(1, ["a", None, "b"]), (1, ["a"]), (2, None), (3, [None])], "id int, words array<string>")
+    found = si.title_vectors(rows, table, block_numbers=block_numbers).collect()
+    assert sorted((r.id, tuple(r.vector)) for r in found) == [(1, (0.5, 2.0)), (1, (1.0, 0.0))]
