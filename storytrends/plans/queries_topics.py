@@ -126,7 +126,7 @@ def _sentences(spark, root):
 
 
 # Sizes of the models fitted on the test tables; every round reads all texts.
-LDA_TOPICS, LDA_ROUNDS = 10, 5
+LDA_TOPICS, LDA_ROUNDS = 10, 3
 LDA_WORDS = 20
 WORD_DIM, WORD_USES, WORD_PARTITIONS, CLUSTERS = 100, 5, 4, 10
 
