@@ -56,10 +56,15 @@ class Node:
         self.density = self.total = 0.0
 
 
-def foreign_name(attributes: str) -> bool:
+#: Names that inside an article belong to it: its own head holds its title.
+HEADS = frozenset(("header", "masthead", "banner"))
+
+
+def foreign_name(attributes: str, inside: bool) -> bool:
     for match in NAMED.finditer(attributes):
         value = match.group(1) or match.group(2) or match.group(3) or ""
-        if any(word in FOREIGN_NAMES for word in re.split(r"[\s_\-]+", value.lower())):
+        words = re.split(r"[\s_\-]+", value.lower())
+        if any(word in FOREIGN_NAMES and not (inside and word in HEADS) for word in words):
             return True
     return "hidden" in attributes and re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) is not None
 
@@ -106,9 +111,10 @@ def parse(page: str) -> Node:
                     break
         parent = stack[-1]
         attributes = match.group(3) or ""
-        foreign = parent.foreign or name in FOREIGN or bool(attributes and foreign_name(attributes))
-        if name == "header" and any(n.tag == "article" for n in stack) and not (attributes and foreign_name(attributes)):
-            foreign = parent.foreign  # the head of an article holds its title
+        foreign = parent.foreign or name in FOREIGN
+        if not parent.foreign and (attributes or name == "header"):
+            inside = any(n.tag in ("article", "main") for n in stack)
+            foreign = name in FOREIGN and not (inside and name == "header") or foreign_name(attributes, inside)
         node = Node(name, parent, foreign)
         parent.children.append(node)
         if name in RAW and not attributes.rstrip().endswith("/"):

@@ -84,7 +84,7 @@ def test_encoding_forgets_without_changing(monkeypatch):
 
 PAGE = """<html><head><title>T</title><script>var a="</p><p>no";</script></head><body><nav><a href=/>Home</a></nav>
 <div class="cookie-notice">We use cookies, dear reader, on every page of this site.</div>
-<article><header><h1>The &amp; title</h1></header><p>First&nbsp;part <b>bold<br>next.<p>Second
+<article><header class="post-header"><h1>The &amp; title</h1></header><p>First&nbsp;part <b>bold<br>next.<p>Second
  part.<ul><li>one<li>two</ul><form>name <input></form><div class="share"><a>x</a></div>
 <!-- gone --></article><section id="comments"><p>I read this with much interest, thank you very much.</p></section>
 <aside>Other things</aside><footer>All rights</footer></body></html>"""
