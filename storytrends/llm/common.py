@@ -38,10 +38,9 @@ def lookup(df: DataFrame, values: DataFrame, key: str, hot: list | None = None,
     hot = hot_keys(df, key) if hot is None else hot
     if not hot:
         return df.join(values, key, how)
-    keys = df.sparkSession.createDataFrame([(k,) for k in hot], df.select(key).schema)
-    own = values.join(F.broadcast(keys), key, "left_semi")
-    return df.join(F.broadcast(keys), key, "left_semi").join(F.broadcast(own), key, how).unionByName(
-        df.join(F.broadcast(keys), key, "left_anti").join(values, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return df.filter(is_hot).join(F.broadcast(values.filter(is_hot)), key, how).unionByName(
+        df.filter(~is_hot).join(values.filter(~is_hot), key, how)
     )
 
 
