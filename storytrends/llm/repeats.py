@@ -368,7 +368,8 @@ def remove(docs: DataFrame) -> DataFrame:
 
     A character cut in part is dropped as a whole. Columns and their order stay.
     """
-    aside = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("row"))
+    rest = F.struct(*[c for c in docs.columns if c != "text"])  # the text is carried once
+    aside = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
