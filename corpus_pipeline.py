@@ -29,8 +29,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates; of rows that repeat an id, the smallest text."""
     kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    chosen = _aside(docs).join(kept, "doc_id", "left_semi").groupBy("doc_id")
-    return chosen.agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    chosen = rows.join(kept, "doc_id", "left_semi").groupBy("doc_id")
+    return chosen.agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
