@@ -1,10 +1,12 @@
 """Operator 1: main text of a page by composite text density.
 
 Every node of the page's tree gets a density: its text characters per tag, adjusted for
-the share that lies in links. A node's sum is that of the densities of its children, and
-the subtree with the largest sum is the article. The least density on the path from the
-body to it is the threshold; link-heavy parts inside the article below it are dropped.
-Menus, forms, adverts and the like are cut off before, by element and by class name.
+the share that lies in links. The formula has no value where the whole body has no link;
+there the density is the plain one, characters per tag. A node's sum is that of the
+densities of its children, its direct text being one of them, and the subtree with the
+largest sum is the article. The least density on the path from the body to it is the
+threshold; link-heavy parts inside the article below it are dropped. Menus, forms,
+adverts and the like are cut off before, by element and by class name.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ def parse(page: str) -> Node:
     while True:
         match = TOKEN.search(page, at)
         text = page[at : match.start()] if match else page[at:]
-        if text and not stack[-1].foreign:
+        if text:
             stack[-1].children.append(text)
         if not match:
             return root
@@ -129,6 +131,23 @@ def parse(page: str) -> Node:
             stack.append(node)
 
 
+def body_figures(root: Node) -> tuple[int, int]:
+    """Characters of the whole body and those of its links, menus and other foreign parts included."""
+    chars = links = 0
+    todo = [(root, False)]
+    while todo:
+        node, linked = todo.pop()
+        linked = linked or node.tag == "a"
+        for child in node.children:
+            if child.__class__ is str:
+                size = len(child.strip())
+                chars += size
+                links += size if linked else 0
+            elif child.tag != "head":
+                todo.append((child, linked))
+    return chars, links
+
+
 def measure(root: Node) -> list[Node]:
     """All nodes, parents first, with their characters, tags, densities and sums."""
     nodes, todo = [], [root]
@@ -146,14 +165,22 @@ def measure(root: Node) -> list[Node]:
             up.link_chars += node.link_chars
             up.tags += node.tags + 1
             up.link_tags += node.link_tags
-    whole_chars, whole_links = max(root.chars, 1), root.link_chars
+    body_chars, body_links = body_figures(root)
+    share = body_links / max(body_chars, 1)
+
+    def density(chars: int, link_chars: int, tags: int, link_tags: int) -> float:
+        tags = max(tags, 1)
+        if not body_links:
+            return chars / tags
+        value = chars / max(link_chars, 1) * tags / max(link_tags, 1)
+        if value <= 1:
+            return 0.0
+        base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
+        return chars / tags * math.log(value) / math.log(base)
+
     for node in reversed(nodes):
-        plain = max(node.chars - node.link_chars, 1)
-        tags = max(node.tags, 1)
-        base = math.log(node.chars / plain * node.link_chars + whole_links / whole_chars * node.chars + math.e)
-        value = node.chars / max(node.link_chars, 1) * tags / max(node.link_tags, 1)
-        node.density = node.chars / tags * (math.log(value) / math.log(base)) if value > 1 and base > 1 else 0.0
-        node.total += node.own
+        node.density = density(node.chars, node.link_chars, node.tags, node.link_tags)
+        node.total += density(node.own, 0, 0, 0)
         if node.parent is not None:
             node.parent.total += node.density
     return nodes

@@ -106,6 +106,17 @@ def test_densest_subtree_without_names():
     assert html.main_text(page) == "\n\n".join(f"Paragraph {i} has quite some words, so that its density is high enough." for i in range(9))
 
 
+@pytest.mark.parametrize("menu", ["", "<nav><a href=/a>Start</a> <a href=/b>Topics</a></nav>"])
+@pytest.mark.parametrize("side", ["<p>Sunny today, with a light wind.</p>", "Sunny today, <p>with a light wind.</p> More at noon."])
+def test_densest_subtree_of_link_free_content(menu, side):
+    parts = [f"Paragraph {i} has quite some words, so that its density is high enough." for i in range(9)]
+    block = f"<div>{side}</div>"
+    body = "".join(f"<p>{p}</p>" for p in parts)
+    assert html.main_text(f"<body>{menu}{block}<div>{body}</div>{block}</body>") == "\n\n".join(parts)
+    direct = html.main_text(f"<body>{menu}{block}<div>{parts[0]}{body}</div>{block}</body>")
+    assert direct == "\n\n".join([parts[0], *parts])
+
+
 def test_page_query_equals_the_articles(spark, tables):
     import re
     from html import unescape
