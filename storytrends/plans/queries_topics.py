@@ -125,8 +125,8 @@ def _sentences(spark, root):
     return mo.training_sentences(titles_nonempty(docs), docs)
 
 
-# Sizes of the models fitted on the test tables; every round reads all texts.
-LDA_TOPICS, LDA_ROUNDS = 10, 3
+# Sizes of the models fitted on the test tables, those of the reference for LDA; every round reads all texts.
+LDA_TOPICS, LDA_ROUNDS = 50, 50
 LDA_WORDS = 20
 WORD_DIM, WORD_USES, WORD_PARTITIONS, CLUSTERS = 100, 5, 4, 10
 
