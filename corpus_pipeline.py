@@ -27,11 +27,18 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates; of rows that repeat an id, the smallest text."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
-    chosen = rows.join(kept, "doc_id", "left_semi").groupBy("doc_id")
-    return chosen.agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
+    """One row of each class of near-duplicates: of the smallest doc_id, a null one being the last.
+
+    Rows are told apart by a number of their own, so each stays or goes by its own text. Of
+    rows of one id in one class that of the smallest hash stays. Null and blank texts all stay.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"))
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), order.alias("order"), F.struct(*docs.columns).alias("row"))
+    rows = written(rows, "numbered")
+    found = minhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
+    classes = found.select(F.col("doc_id").alias("key"), "class_id").join(rows.select("key", "order"), "key")
+    kept = classes.groupBy("class_id").agg(F.min(F.struct("order", "key")).alias("m")).select("m.key")
+    return rows.join(kept, "key", "left_semi").select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -249,7 +249,8 @@ def near_duplicates(
     of ``threshold`` or more; classes are the connected components. A text of fewer words
     is one shingle. Null and blank texts have none and link with nothing. Rows that repeat
     a doc_id are one node with all their texts. ``counts`` weighs shingles by their counts
-    in the signatures. Other columns are not read.
+    in the signatures. A row without a doc_id has no class: its class_id and kept are null.
+    Other columns are not read.
     """
     signed = written(signatures(docs, bands, rows, counts), "signatures")
     texts = signed.filter("text_hash IS NOT NULL")

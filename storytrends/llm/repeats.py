@@ -39,6 +39,8 @@ HOT = 256
 #: Text of the groups that are sorted together.
 SORTED_BYTES = 1 << 20
 BUCKET_BYTES = 64 << 20
+#: Place of rows without a doc_id: after all others.
+NO_ID = (1 << 63) - 1
 RANGES = "doc_id long, tie long, ranges binary, key long, first long, text binary"
 
 
@@ -285,12 +287,17 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     ``copy`` marks rows whose whole text a smaller doc_id has; their spans are null. A null
     text counts as empty and shorter texts than LENGTH lose nothing. Rows that repeat
     doc_id and text are one document; other texts under one doc_id come in the order of a
-    hash. Extra columns pass through; those named like an added one are replaced.
+    hash. Rows without a doc_id come after all others, as if they shared one id. Extra
+    columns pass through; those named like an added one are replaced.
     """
-    docs = docs.drop("tie", "hs", "ns", "copy", "_copy", "spans", "n_bytes")
+    docs = docs.drop("tie", "hs", "ns", "copy", "_copy", "spans", "n_bytes", "_no_id")
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    plain = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie"))
+    no_id = F.col("doc_id").isNull()
+    # Another hash without an id keeps such a row apart from one whose id is NO_ID.
+    docs = docs.withColumns({"_no_id": no_id, "tie": F.when(no_id, F.xxhash64(F.lit(1), text)).otherwise(F.xxhash64(text))})
+    docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    plain = docs.select("doc_id", text.alias("text"), "tie")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(256, total // BUCKET_BYTES)
     packed = plain.mapInArrow(
@@ -313,7 +320,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     marked = shared.join(copies.withColumnRenamed("copy", "_copy"), ["doc_id", "tie"], "full").select(
         "doc_id", "tie", "hs", "ns", F.coalesce("_copy", F.lit(False)).alias("copy")
     )
-    rows = docs.withColumn("tie", F.xxhash64(text)).join(marked.hint("shuffle_hash"), ["doc_id", "tie"], "left")
+    rows = docs.join(marked.hint("shuffle_hash"), ["doc_id", "tie"], "left")
     texts = bucketed(rows.withColumn("copy", F.coalesce("copy", F.lit(False))), files, "doc_id", "tie")
     sources = texts.filter(F.col("hs").isNotNull() & ~F.col("copy"))
     ranges = repeated_ranges(sources)
@@ -327,9 +334,10 @@ def removed_spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.binary())], ["doc_id", "tie", "spans"])
 
     joined = ranges.mapInArrow(join, "doc_id long, tie long, spans binary")
-    return texts.drop("hs", "ns").join(joined.hint("shuffle_hash"), ["doc_id", "tie"], "left").withColumn(
+    out = texts.drop("hs", "ns").join(joined.hint("shuffle_hash"), ["doc_id", "tie"], "left").withColumn(
         "n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     )
+    return out.withColumn("doc_id", F.when(~F.col("_no_id"), F.col("doc_id"))).drop("_no_id")
 
 
 def cut(raw: bytes, spans: bytes | None, copy: bool) -> tuple[bytes, int]:

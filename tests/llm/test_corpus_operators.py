@@ -312,5 +312,30 @@ def test_pipeline_with_awkward_rows(spark, docs, tables):
         stage(spark, docs.limit(0), tables).count()
 
 
+def test_repeats_without_ids(spark):
+    passage = " ".join(f"passage{i}" for i in range(40))
+    texts = [f"{' '.join(f'w{n}x{i}' for i in range(60))} {passage}" for n in range(3)]
+    rows = [(5, texts[0]), (None, texts[1]), (None, texts[0]), (repeats.NO_ID, texts[2]), (None, "short"), (None, None)]
+    found = repeats.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = sorted((r.doc_id is None, r.n_bytes, r.n_removed) for r in found)
+    size = [len(t) for t in texts]
+    cut = len("x59 ") + len(passage)  # the end of the last word before the passage is shared, too
+    assert removed == sorted([(False, size[0], 0), (False, size[2], cut), (True, size[1], cut), (True, size[0], size[0]), (True, 5, 0), (True, 0, 0)])
+    assert {r.doc_id for r in found} == {5, repeats.NO_ID, None}
+
+
+def test_pipeline_loses_no_rows_without_or_of_one_id(spark, tables):
+    texts = [" ".join(f"w{n}x{i}" for i in range(60)) for n in range(5)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (3, texts[2]), (4, texts[3]), (4, texts[4]), (4, texts[4]), (None, None), (None, "")]
+    every = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "y", 7) for i, t in rows], DOCS)
+    known = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    kept = corpus_pipeline.dedup(spark, every, tables)
+    expected = [(True, 0, texts[0]), (True, 0, texts[1]), (False, 3, texts[2]), (False, 4, texts[3]), (False, 4, texts[4]), (True, 0, ""), (True, 0, "")]
+    assert sorted(map(known, kept.collect())) == sorted(expected)
+    assert sorted(map(known, corpus_pipeline.cut_repeats(spark, kept, tables).collect())) == sorted(expected)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, every, tables).count()
+
+
 def test_queries_are_complete():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
