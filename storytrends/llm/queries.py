@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from storytrends.session import scratch_path
 
-from . import bpe, html, minhash, packing, pivots, quality, repeats, rules, shards, warc
+from . import bpe, html, minhash, packing, pivots, quality, repeats, rules, shards, slack, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_captures(spark, path)
 
 
+@query
+def op13_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack.pack(table(spark, sf_dir, "documents"))
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
