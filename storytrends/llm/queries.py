@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from storytrends.session import scratch_path
 
-from . import bpe, html, minhash, packing, pivots, quality, repeats, rules, shards, slack, warc
+from . import bpe, html, merkle, minhash, packing, pivots, quality, repeats, rules, shards, slack, warc, whiten
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_captures(spark, path)
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack.pack(table(spark, sf_dir, "documents"))
@@ -121,3 +131,53 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
   CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN f USING (d)"""
+
+
+def _leaf(text: str) -> str:
+    fields = [("doc_id", "doc_id"), ("source", "source"), ("lang", "lang"), ("n_chars", "n_chars"), ("text", text)]
+    parts = [f"CASE WHEN {name} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || {value} END" for name, value in fields]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree(name: str, start: str) -> str:
+    """Levels of the trees over ``start`` (g, pos, digest), and the siblings beside every node."""
+    return f"""
+{name} AS (
+  SELECT g, 0 AS level, pos, digest FROM {start}
+  UNION ALL
+  SELECT g, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {name}) WHERE n > 1 GROUP BY g, level, pos // 3),
+{name}_beside AS (
+  SELECT a.g, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+         coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM {name} a JOIN {name} b ON a.g = b.g AND a.level = b.level AND a.pos // 3 = b.pos // 3
+  JOIN (SELECT g, max(level) AS top FROM {name} GROUP BY g) t ON t.g = a.g AND a.level < t.top GROUP BY ALL),
+{name}_top AS (SELECT g, arg_max(digest, level) AS digest FROM {name} GROUP BY g)"""
+
+
+def _climb(name: str, tree: str, start: str) -> str:
+    """Every row of ``start`` (row, g, pos, digest, proof) folded to the top of its tree, with all siblings."""
+    return f"""
+{name} AS (
+  SELECT row, g, 0 AS level, pos, digest, proof FROM {start}
+  UNION ALL
+  SELECT row, g, level + 1, pos // 3, sha256(before || digest || after), proof || before || after
+  FROM {name} JOIN {tree}_beside USING (g, level, pos)),
+{name}_end AS (SELECT row, arg_max(digest, level) AS digest, arg_max(proof, level) AS proof FROM {name} GROUP BY row)"""
+
+
+SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE rows AS (
+  SELECT *, list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) & 1 AS odd FROM documents),
+leaves AS (SELECT coalesce('s' || source, 'n') AS g, doc_id, {_leaf('text')} AS leaf,
+  CASE WHEN odd = 1 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS changed FROM rows),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS row FROM leaves),
+start AS (SELECT g, pos, leaf AS digest FROM placed),{_tree('inner_tree', 'start')},
+sources AS (SELECT '' AS g, g AS source, digest, row_number() OVER (ORDER BY g) - 1 AS pos FROM inner_tree_top),{_tree('outer_tree', 'sources')},
+changed AS (SELECT row, g, pos, changed AS digest, '' AS proof FROM placed),{_climb('up', 'inner_tree', 'changed')},
+halfway AS (SELECT p.row, '' AS g, s.pos, e.digest, e.proof FROM up_end e JOIN placed p USING (row) JOIN sources s ON s.source = p.g),
+{_climb('top', 'outer_tree', 'halfway')}
+SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, sha256(e.proof) AS proof_sha256, e.digest AS folded_root,
+  e.digest = r.digest AS verified
+FROM placed p JOIN sources s ON s.source = p.g JOIN top_end e USING (row) CROSS JOIN outer_tree_top r"""
