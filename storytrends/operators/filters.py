@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import title_tokens
@@ -67,9 +67,14 @@ def post_kind_counts(
 
 
 def webpage_extract(
-    pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", min_words: int = 5
+    pages: DataFrame,
+    id: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+    min_words: int = 5,
+    more: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The six text columns of a page, all empty where the page was not fetched."""
+    """The six text columns of a page, all empty where the page was not fetched, and columns ``more``."""
     source = F.when(url_eligible(F.col(url)), F.coalesce(F.col(html), F.lit(""))).otherwise("")
     final = F.coalesce(F.nullif(canonical_url(source), F.lit("")), F.col(url))
     return pages.select(
@@ -80,18 +85,39 @@ def webpage_extract(
         main_text(source, min_words).alias("cleanedText"),
         F.when(source != "", final).otherwise("").alias("finalUrl"),
         meta_content(source, "property", "og:image").alias("topImage"),
+        *more,
+    )
+
+
+OUTCOMES = ("skipped_url", "failed_get", "failed_read", "empty_extract", "success")
+
+
+def page_outcome(url: Column, html: Column, text: Column) -> Column:
+    """What became of a page: a null page was not got, an empty one not read."""
+    return (
+        F.when(~url_eligible(url), "skipped_url")
+        .when(html.isNull(), "failed_get")
+        .when(html == "", "failed_read")
+        .when(text == "", "empty_extract")
+        .otherwise("success")
     )
 
 
 def extract_outcomes(
     pages: DataFrame, url: str = "url", html: str = "html", min_words: int = 5
 ) -> DataFrame:
-    """Pages by outcome: a null page was not got, an empty one not read."""
-    outcome = (
-        F.when(~url_eligible(F.col(url)), "skipped_url")
-        .when(F.col(html).isNull(), "failed_get")
-        .when(F.col(html) == "", "failed_read")
-        .when(main_text(F.col(html), min_words) == "", "empty_extract")
-        .otherwise("success")
-    )
+    """Pages by outcome."""
+    outcome = page_outcome(F.col(url), F.col(html), main_text(F.col(html), min_words))
     return pages.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def observe_outcomes(df: DataFrame, outcome: str, observation: Observation) -> DataFrame:
+    """``df`` as it is; the first action on it also counts the outcomes, nulls aside."""
+    counts = (F.count(F.when(F.col(outcome) == name, 1)).alias(name) for name in OUTCOMES)
+    return df.observe(observation, *counts)
+
+
+def observed_outcomes(spark: SparkSession, observation: Observation) -> DataFrame:
+    """``outcome, n`` of an observation, outcomes that did not occur left out."""
+    rows = [(name, n) for name, n in observation.get.items() if n]
+    return spark.createDataFrame(rows, "outcome string, n long")

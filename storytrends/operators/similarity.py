@@ -12,7 +12,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import zeros
@@ -43,9 +45,8 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def _names(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    values = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
-    return values.astype(str) if values.dtype == object else values
+def _whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -83,7 +84,8 @@ def _nearest(points: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
-Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+# Query positions, words and scores.
+Found = tuple[np.ndarray, pa.Array, np.ndarray]
 
 
 def _rounded(scores: np.ndarray) -> np.ndarray:
@@ -99,46 +101,67 @@ def _slices(rows: int, targets: int) -> Iterator[slice]:
         yield slice(lo, lo + step)
 
 
-def _own_column(words: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns where a word is the query itself."""
-    order = np.argsort(queries)
-    at = order[np.searchsorted(queries, words, sorter=order).clip(max=len(queries) - 1)]
-    rows = np.flatnonzero(queries[at] == words)
-    return rows, at[rows]
-
-
-def _best_per_query(at: np.ndarray, words: np.ndarray, scores: np.ndarray, n: int) -> Found:
+def _best_per_query(found: Found, n: int) -> Found:
     """The best ``n`` per query of candidates, in order (score falling, word)."""
-    order = np.lexsort((words, -scores, at))
-    at, words, scores = at[order], words[order], scores[order]
+    at, words, scores = found
+    order = np.lexsort((pc.rank(words, tiebreaker="dense").to_numpy(), -scores, at))
+    at = at[order]
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
     rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
-    keep = rank < n
-    return at[keep], words[keep], scores[keep]
+    keep = order[rank < n]
+    return found[0][keep], words.take(pa.array(keep)), scores[keep]
+
+
+def _no_candidates(word_type: pa.DataType) -> Found:
+    return np.zeros(0, dtype=int), pa.array([], word_type), np.zeros(0)
+
+
+def _joined(parts: list[Found]) -> Found:
+    at, words, scores = zip(*parts, strict=True)
+    return np.concatenate(at), pa.concat_arrays(words), np.concatenate(scores)
+
+
+def _floors(kept: Found, queries: int, n: int) -> np.ndarray:
+    """Per query the score that a further word must reach: that of the last of ``n`` kept ones."""
+    floors = np.full(queries, -np.inf)
+    at, _, scores = kept
+    full = np.bincount(at, minlength=queries) >= n
+    lowest = np.full(queries, np.inf)
+    np.minimum.at(lowest, at, scores)
+    floors[full] = lowest[full]
+    return floors
 
 
 def _candidates(
-    words: np.ndarray,
+    words: pa.Array,
     points: np.ndarray,
-    queries: np.ndarray,
+    queries: pa.Array,
     targets: np.ndarray,
     n: int,
     exclude_self: bool,
+    kept: Found | None = None,
 ) -> Found:
-    """Best ``n`` words of these for each query: query positions, words and scores."""
-    best: Found = np.zeros(0, dtype=int), words[:0], np.zeros(0)
+    """Best ``n`` words of these and the ``kept`` ones for each query.
+
+    A slice of the words passes on what reaches the floor of its query, which rises from
+    slice to slice; all are put in order once.
+    """
+    parts = [_no_candidates(words.type) if kept is None else kept]
+    floors = _floors(parts[0], len(queries), n)
+    own = pc.index_in(words, value_set=queries) if exclude_self and words.type == queries.type else None
     for part in _slices(len(words), len(queries)):
-        names = words[part]
         scores = _rounded(cosine_scores(points[part], targets))
-        if exclude_self and len(queries):
-            scores[_own_column(names, queries)] = -np.inf
-        keep = scores > -np.inf
-        if len(names) > n:
-            keep &= scores >= np.partition(scores, len(names) - n, axis=0)[len(names) - n]
-        rows, at = np.nonzero(keep)
-        found = (at, names[rows], scores[rows, at])
-        best = _best_per_query(*(np.concatenate(pair) for pair in zip(best, found)), n)
-    return best
+        if own is not None:
+            column = own.slice(part.start, len(scores))
+            known = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            scores[known, column.drop_null().to_numpy()] = -np.inf
+        if len(scores) > n:
+            floors = np.maximum(floors, np.partition(scores, len(scores) - n, axis=0)[len(scores) - n])
+        rows, at = np.nonzero((scores >= floors) & (scores > -np.inf))
+        parts.append((at, words.take(pa.array(rows + part.start)), scores[rows, at]))
+        if sum(len(at) for at, _, _ in parts) > SCORE_NUMBERS:  # many equal scores
+            parts = [_best_per_query(_joined(parts), n)]
+    return _best_per_query(_joined(parts), n)
 
 
 def nearest_words(
@@ -170,11 +193,8 @@ def nearest_words(
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def _rows_out(names: pa.Array, at: np.ndarray, words: np.ndarray, scores: np.ndarray, word_type):
-    return pa.RecordBatch.from_arrays(
-        [names.take(pa.array(at)), pa.array(words.tolist(), type=word_type), pa.array(scores)],
-        ["query", "word", "score"],
-    )
+def _rows_out(names: pa.Array, at: np.ndarray, words: pa.Array, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([names.take(pa.array(at)), words, pa.array(scores)], ["query", "word", "score"])
 
 
 def _nearest_by_broadcast(
@@ -185,20 +205,12 @@ def _nearest_by_broadcast(
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, targets = shipped.value
-        queries = _names(names)
         kept: Found | None = None
-        word_type = None
         for batch in batches:
-            word_type = batch.column(0).type
-            found = _candidates(
-                _names(batch.column(0)), _matrix(batch.column(1), dim), queries, targets, n,
-                exclude_self,
-            )
-            if kept is not None:
-                found = _best_per_query(*(np.concatenate(pair) for pair in zip(kept, found)), n)
-            kept = found
+            points = _matrix(batch.column(1), dim)
+            kept = _candidates(batch.column(0), points, names, targets, n, exclude_self, kept)
         if kept is not None:
-            yield _rows_out(names, *kept, word_type)
+            yield _rows_out(names, *kept)
 
     return vectors.mapInArrow(best, schema)
 
@@ -226,12 +238,12 @@ def _nearest_by_tiles(
     right = _tiled(queries, query, "_q", q_tiles, "_v", v_tiles).groupBy("_v", "_q")
 
     def best(points: pa.Table, targets: pa.Table) -> pa.Table:
-        names = targets.column(query).combine_chunks()
+        names = _whole(targets.column(query))
         found = _candidates(
-            _names(points.column(word)), _matrix(points.column("vector"), dim),
-            _names(names), _matrix(targets.column("vector"), dim), n, exclude_self,
+            _whole(points.column(word)), _matrix(points.column("vector"), dim),
+            names, _matrix(targets.column("vector"), dim), n, exclude_self,
         )
-        return pa.Table.from_batches([_rows_out(names, *found, points.column(word).type)])
+        return pa.Table.from_batches([_rows_out(names, *found)])
 
     return left.cogroup(right).applyInArrow(best, schema)
 
@@ -319,14 +331,22 @@ def classify_nearest_label(
     return best_match(texts, labels, cosine_scores, id, label, **options)
 
 
+def _vector_sums(df: DataFrame, key: str, vector: Column, weight: Column, dim: int) -> DataFrame:
+    """``key, vector, n``: weighted element-wise sums in one typed aggregate, and the sum of the weights.
+
+    Null vectors weigh, but add nothing.
+    """
+    filled = df.select(key, array_to_vector(F.coalesce(vector, zeros(dim))).alias("_v"), weight.cast("double").alias("_w"))
+    summed = filled.groupBy(key).agg(Summarizer.metrics("sum").summary(F.col("_v"), F.col("_w")).alias("_s"), F.sum("_w").alias("_n"))
+    return summed.select(key, vector_to_array("_s.sum").alias("vector"), F.col("_n").cast("bigint").alias("n"))
+
+
 def group_vector_sum(
     df: DataFrame, key: str, vector: str = "vector", dim: int | None = None
 ) -> DataFrame:
     """``key, vector, n``: element-wise sums per key, combined before the shuffle."""
     dim = vector_size(df, vector) if dim is None else dim
-    sums = [F.sum(F.get(vector, F.lit(i))).alias(f"_{i}") for i in range(dim)]
-    summed = df.groupBy(key).agg(*sums, F.count("*").alias("n"))
-    return summed.select(key, F.array(*(f"_{i}" for i in range(dim))).alias("vector"), "n")
+    return _vector_sums(df, key, F.col(vector), F.lit(1.0), dim)
 
 
 def group_vector_mean(
@@ -404,9 +424,8 @@ def mean_vectors(
     counts = rows.groupBy(id, word).agg(F.count("*").alias("_n"))
     known = word_vectors(counts, vectors, word, dim)
     dim = vector_size(vectors, "vector") if dim is None else dim
-    sums = [F.sum(F.get("vector", F.lit(i)) * F.col("_n")).alias(f"_{i}") for i in range(dim)]
-    summed = known.groupBy(id).agg(*sums, F.sum("_n").alias("_n"))
-    return summed.select(id, F.array(*(F.col(f"_{i}") / F.col("_n") for i in range(dim))).alias("vector"))
+    summed = _vector_sums(known, id, F.col("vector"), F.col("_n"), dim)
+    return summed.select(id, F.transform("vector", lambda x: x / F.col("n")).alias("vector"))
 
 
 def _segment_sums(matrix: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:

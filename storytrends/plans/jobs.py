@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sinks, sources
@@ -20,8 +20,9 @@ from ..operators import terms as te
 from ..operators import topics as tp
 from ..operators import explore as ex
 from ..operators.explore import monthly_totals
-from ..operators.filters import extract_outcomes, nonempty_text, titles_nonempty, webpage_extract
+from ..operators.filters import nonempty_text, observe_outcomes, observed_outcomes, page_outcome, titles_nonempty, webpage_extract
 from ..operators.rows import array_rows
+from ..schema import WEBPAGE
 from ..sinks.page import keywords_json, scores_json
 
 # The label words texts are classified by unless others are given.
@@ -80,14 +81,15 @@ def lda_job(
     max_iter: int = 50,
     drop_top: int = 100,
     words_per_topic: int = 20,
-    optimizer: str = "online",
+    optimizer: str = "em",
     seed: int = 1,
     info: dict | None = None,
     min_count: int = 1,
 ) -> None:
     """Topics of tokenized texts: ``topics``, ``clustering``, ``info`` and the model.
 
-    ``min_count`` leaves rare terms out of the vocabulary, which the online optimizer
+    ``info`` counts the texts fitted, the terms, and the texts left out since they have no
+    term. ``min_count`` leaves rare terms out of the vocabulary, which the online optimizer
     keeps on the driver once per topic.
     """
     counts = te.count_terms(array_rows(tokens, "id", F.col("words"), "term"))
@@ -96,11 +98,11 @@ def lda_job(
     model = mo.lda_fit(vectors, k, max_iter, optimizer, seed)
     topics = mo.lda_topics(model, vocab, words_per_topic)
     sinks.write_topics(topics.select(F.col("topic").alias("topicId"), "word", "weight"), f"{out}/topics")
-    kept = tp.top_topics(mo.lda_article_topics(model, vectors), k)
+    kept = tp.topic_rows(tp.article_topics(model.transform(vectors), "id", "topicDistribution", k))
     columns = (F.col("id").alias("objectID"), F.col("topic").alias("topicId"), "probability")
     sinks.write_clustering(kept.select(*columns), f"{out}/clustering")
     about = {"jobId": 1, "jobName": "lda", "description": "", **(info or {})}
-    sinks.write_job_info(spark, {**about, "numTopics": k, "maxIterations": max_iter}, f"{out}/info")
+    sinks.write_job_info(spark, about | mo.fit_info(model, tokens, vectors, "id", max_iter), f"{out}/info")
     sinks.save_model(model, f"{out}/model")
 
 
@@ -182,13 +184,16 @@ def pages_job(spark: SparkSession, posts: DataFrame, pages: DataFrame, out: str)
     ``pages`` has one row ``objectID, html`` per page that was asked for; a post without
     one has empty page columns. The outcomes of the pages are counted in ``outcomes``.
     """
-    asked = posts.select("objectID", "url").join(pages, "objectID")
-    extract_outcomes(asked).write.mode("errorifexists").parquet(f"{out}/outcomes")
-    texts = webpage_extract(posts.select("objectID", "url").join(pages, "objectID", "left"), "objectID")
-    columns = [c for c in texts.columns if c != "objectID"]
-    page = F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in columns)).alias("webpage")
-    joined = posts.select("objectID", F.struct(*posts.columns).alias("HNItem")).join(texts.select("objectID", page), "objectID")
-    sinks.write_daily(joined.select("webpage", "HNItem"), f"{out}/days")
+    asked = pages.select("objectID", "html", F.lit(True).alias("asked"))
+    both = posts.select("objectID", "url", F.struct(*posts.columns).alias("HNItem")).join(asked, "objectID", "left")
+    texts = webpage_extract(both, "objectID", more=("HNItem", "asked", "html", "url"))
+    outcome = F.when(F.col("asked"), page_outcome(F.col("url"), F.col("html"), F.col("cleanedText"))).alias("outcome")
+    page = F.struct(*(F.coalesce(f.name, F.lit("")).alias(f.name) for f in WEBPAGE.fields)).alias("webpage")
+    # The writer runs this part of the plan once, so every page is parsed once and counted there.
+    seen = Observation("outcomes")
+    counted = observe_outcomes(texts.select(page, "HNItem", outcome), "outcome", seen)
+    sinks.write_daily(counted.select("webpage", "HNItem"), f"{out}/days")
+    observed_outcomes(spark, seen).write.mode("errorifexists").parquet(f"{out}/outcomes")
 
 
 def explore_job(spark: SparkSession, path: str, out: str, n: int = 10) -> None:

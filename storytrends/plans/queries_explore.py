@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.web import url_eligible
 from ..operators import explore as ex
 from ..operators import filters as fl
+from ..session import scratch_path
 from ..sources.stories import in_period
 from .registry import MONTH, on_corpus, on_stories, query
 from .views import corpus, stories, table
@@ -108,6 +109,35 @@ def monthly_totals(spark, root):
     return ex.monthly_totals(stories(spark, root))
 
 
+@query(
+    "submitter_sketches",
+    on_stories(
+        f""", counted AS (SELECT {MONTH} AS month, count(*) AS stories, count(DISTINCT author) AS submitters FROM stories GROUP BY 1
+             UNION ALL SELECT 'all', count(*), count(DISTINCT author) FROM stories)
+        SELECT month, stories, submitters, TRUE AS within FROM counted"""
+    ),
+)
+def submitter_sketches(spark, root):
+    """Distinct submitters by month and in all, and whether the merged daily sketches are within 3 % of them.
+
+    The sketches are stored by day and merged from there. Three standard errors are 2.4 %;
+    one submitter more or less is always within.
+    """
+    posts = stories(spark, root, comments=False)
+    path = scratch_path(spark, "sketches")
+    ex.submitter_sketches(posts).write.parquet(path)
+    stored = spark.read.parquet(path)
+    merged = ex.submitters_by_month(stored).unionByName(ex.merged_submitters(stored)).withColumnRenamed("submitters", "estimate")
+    month = ex.month_of("created_at").alias("month")
+    exact = posts.groupBy(month).agg(F.count_distinct("author").alias("submitters")).unionByName(
+        posts.agg(F.lit("all").alias("month"), F.count_distinct("author").alias("submitters"))
+    )
+    off = F.abs(F.col("estimate") - F.col("submitters"))
+    return merged.join(exact, "month").select(
+        "month", "stories", "submitters", (off <= F.greatest(F.lit(1.0), F.col("submitters") * 0.03)).alias("within")
+    )
+
+
 @query(
     "month_calendar",
     on_stories(

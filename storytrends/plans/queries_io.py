@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from .. import sinks, sources
@@ -11,7 +13,7 @@ from ..session import scratch_path
 from .queries_text import PAGE_TEXTS, TOKENIZED
 from .queries_topics import DISTRIBUTION, _TOPIC_WORDS, _topic_words
 from .registry import CORPUS, STORIES, query
-from .views import article_topics, items, table, tokenized
+from .views import article_topics, items, stories, table, tokenized
 
 # Stories by day: a document, the order of the same key and a page.
 _ITEMS = f"""WITH {CORPUS}, {STORIES}, {PAGE_TEXTS},
@@ -113,6 +115,36 @@ def comments_flatten(spark, root):
     return sources.read_comments(spark, path)
 
 
+@query("comments_split", "SELECT text AS comment_text FROM conversations")
+def comments_split(spark, root):
+    """Dumps of which each is one line, read by cutting where a hit begins."""
+    turns = table(spark, root, "conversations")
+    hits = F.collect_list(F.struct(F.lit(0).alias("created_at"), F.col("text").alias("comment_text")))
+    page = turns.groupBy("conv_id", F.floor(F.col("turn") / 1000).alias("page")).agg(hits.alias("hits"))
+    path = scratch_path(spark, "dump")
+    page.select("hits", F.lit(0).alias("nbPages")).write.option("ignoreNullFields", "false").json(path)
+    return sources.read_split_comments(spark, path)
+
+
+@query(
+    "month_store",
+    f"""WITH {STORIES} SELECT year(created_at) AS year, month(created_at) AS month, count(*) AS stories,
+        CAST(sum(CASE WHEN strftime(created_at, '%Y-%m') = '1997-06' THEN 2 * points ELSE points END) AS BIGINT) AS points
+        FROM stories WHERE strftime(created_at, '%Y-%m') BETWEEN '1996-11' AND '1997-09' GROUP BY ALL""",
+)
+def month_store(spark, root):
+    """All stories stored by month, one month written again, and a range of months read."""
+    path = scratch_path(spark, "store")
+    posts = stories(spark, root, comments=False)
+    sources.write_months(posts, path, "created_at")
+    june = sources.in_period(posts, "created_at", 1997, 6)
+    sources.write_months(june.withColumn("points", F.col("points") * 2), path, "created_at")
+    read = sources.read_months(spark, path, dt.date(1996, 11, 1), dt.date(1997, 9, 30))
+    return read.groupBy(F.col("year").cast("bigint").alias("year"), F.col("month").cast("bigint").alias("month")).agg(
+        F.count("*").alias("stories"), F.sum("points").alias("points")
+    )
+
+
 @query(
     "clustering_roundtrip",
     f"""WITH {DISTRIBUTION} SELECT CAST(id AS VARCHAR) AS "objectID", topic AS "topicId", probability

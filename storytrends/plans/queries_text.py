@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.web import CONTAINERS, FOREIGN, STRUCTURE
 from ..operators import filters as fl
 from ..operators import terms as te
 from ..operators.rows import array_rows
+from ..operators.stopping import without_stop_words
 from ..session import cut_lineage, spread
 from .registry import CORPUS, on_corpus, query
 from .views import STOP, corpus, filtered_words, table, titles, tokenized
@@ -178,6 +180,20 @@ def token_filter(spark, root):
     return tokenized(spark, root).select("id", tx.words_to_text(F.col("words")).alias("words"))
 
 
+@query(
+    "stop_table",
+    f"""WITH {TOKENIZED}, stop AS (SELECT DISTINCT unnest({title_tokens_sql()}) AS word FROM corpus),
+    rows AS (SELECT id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM tokenized),
+    kept AS (SELECT id, string_agg(word, ' ' ORDER BY pos) AS words FROM rows ANTI JOIN stop USING (word) GROUP BY 1)
+    SELECT id, coalesce(kept.words, '') AS words FROM tokenized LEFT JOIN kept USING (id)""",
+)
+def stop_table(spark, root):
+    """Words of the texts that are in no title: the title words are a stop table behind its Bloom filter."""
+    stop = array_rows(titles(spark, root), "id", F.col("words"), "word").select("word").distinct()
+    kept = without_stop_words(tokenized(spark, root), "id", "words", stop, max_words=0)
+    return kept.select("id", tx.words_to_text(F.col("words")).alias("words"))
+
+
 _LOOSE = kept_sql("string_split(regexp_replace(lower(text), '[^a-z0-9.]+', ' ', 'g'), ' ')", letters=False)
 
 
@@ -245,11 +261,14 @@ def article_word_counts(spark, root):
     return te.article_word_counts(docs)
 
 
-def _strip_sql(html: str) -> str:
-    out = rf"regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in ("script", "style", "head", "nav", "footer"):
-        out = rf"regexp_replace({out}, '(?is)<{tag}\b.*?</{tag}>', ' ', 'g')"
-    return out
+def _marked_sql(html: str) -> str:
+    """A page without raw parts and inline tags; marks 1 and 2 are around structural tags, 3 and 4 around links."""
+    out = rf"regexp_replace({html}, '(?s)<!--.*?(?:-->|\z)', ' ', 'g')"
+    for tag in ("script", "style", "title"):
+        out = rf"regexp_replace({out}, '(?is)<{tag}\b.*?(?:</{tag}>|\z)', ' ', 'g')"
+    out = rf"regexp_replace(regexp_replace({out}, '(?i)<a\b[^<>]*>', chr(3), 'g'), '(?i)</a\s*>', chr(4), 'g')"
+    out = rf"regexp_replace({out}, '{STRUCTURE}', chr(1) || '\1\2' || chr(2), 'g')"
+    return rf"chr(2) || regexp_replace({out}, '<[^<>]*>', ' ', 'g')"
 
 
 def _plain_sql(c: str) -> str:
@@ -262,13 +281,27 @@ def _plain_sql(c: str) -> str:
     return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
 
 
-_EDGE_SQL = "(?i)</?(?:p|div|article|section|body|html|h[1-6]|li|ul|ol|table|tr|td|br)\\b[^>]*>"
-_BLOCKS_SQL = (
-    f"list_transform(string_split_regex({_strip_sql('html')}, '{_EDGE_SQL}'), lambda b: {_plain_sql('b')})"
-)
-_MAIN_SQL = (
-    f"array_to_string(list_filter({_BLOCKS_SQL}, lambda b: len(string_split(b, ' ')) >= 5), chr(10))"
-)
+_CONTAINERS_SQL, _FOREIGN_SQL = (", ".join(f"'{t}'" for t in tags) for tags in (CONTAINERS, FOREIGN))
+MAIN_TEXTS = f"""split AS (SELECT page_id, string_split({_marked_sql('html')}, chr(1)) AS pieces FROM pages),
+pieces AS (SELECT page_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS pos FROM split),
+parts AS (SELECT page_id, pos, lower(split_part(piece, chr(2), 1)) AS tag, split_part(piece, chr(2), 2) AS raw FROM pieces),
+named AS (SELECT *, ltrim(tag, '/') AS name, CASE WHEN tag LIKE '/%' THEN -1 ELSE 1 END AS way,
+  {_plain_sql("translate(raw, chr(3) || chr(4), '  ')")} AS text,
+  length(array_to_string(regexp_extract_all(raw, chr(3) || '[^' || chr(4) || ']*' || chr(4)), '')) * 2 > length(raw) AS linked FROM parts),
+deep AS (SELECT *, sum(CASE WHEN name IN ({_CONTAINERS_SQL}) THEN way ELSE 0 END) OVER w AS depth,
+  sum(CASE WHEN name IN ({_FOREIGN_SQL}) THEN way ELSE 0 END) OVER w AS foreign_depth
+  FROM named WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+opened AS (SELECT page_id, pos, depth FROM deep WHERE way = 1 AND name IN ({_CONTAINERS_SQL}) UNION ALL SELECT page_id, 0, 0 FROM pages),
+blocks AS (SELECT page_id, pos, text, len(string_split(text, ' ')) AS words, depth FROM deep
+  WHERE len(string_split(text, ' ')) >= 5 AND NOT linked AND foreign_depth = 0),
+shares AS (SELECT b.page_id, b.pos, o.depth, max(o.pos) AS node, any_value(CASE WHEN o.depth = b.depth THEN 2 * words ELSE words END) AS score
+  FROM blocks b JOIN opened o ON o.page_id = b.page_id AND o.pos <= b.pos AND o.depth IN (b.depth, b.depth - 1) GROUP BY ALL),
+best AS (SELECT page_id, node, depth FROM shares GROUP BY page_id, node, depth
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY sum(score) DESC, node) = 1),
+ended AS (SELECT b.page_id, node, coalesce(min(d.pos), 1000000000) AS over FROM best b
+  LEFT JOIN deep d ON d.page_id = b.page_id AND d.pos > node AND d.depth < b.depth GROUP BY ALL),
+main_texts AS (SELECT page_id, string_agg(text, chr(10) ORDER BY pos) AS main FROM blocks JOIN ended USING (page_id)
+  WHERE pos >= node AND pos < over GROUP BY 1)"""
 
 
 def _meta_sql(attribute: str, value: str) -> str:
@@ -278,15 +311,16 @@ def _meta_sql(attribute: str, value: str) -> str:
     return _plain_sql(f"regexp_extract(html, '{pattern}', 1)")
 
 
-PAGE_TEXTS = f"""page_texts AS (
+PAGE_TEXTS = f"""{MAIN_TEXTS},
+page_texts AS (
   SELECT page_id, {_plain_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
          {_meta_sql('name', 'description')} AS "metaDescription",
          {_meta_sql('name', 'keywords')} AS "metaKeywords",
-         {_MAIN_SQL} AS "cleanedText",
+         coalesce(main, '') AS "cleanedText",
          coalesce(nullif(regexp_extract(html, '(?is)<link\\b[^>]*\\brel="canonical"[^>]*\\bhref="([^"]*)"', 1), ''),
                   url) AS "finalUrl",
          {_meta_sql('property', 'og:image')} AS "topImage"
-  FROM pages WHERE url <> '' AND url NOT LIKE '%.pdf')"""
+  FROM pages LEFT JOIN main_texts USING (page_id) WHERE url <> '' AND url NOT LIKE '%.pdf')"""
 
 
 def _pages(spark, root):
@@ -300,9 +334,9 @@ def webpage_extract(spark, root):
 
 @query(
     "extract_outcomes",
-    f"""SELECT CASE WHEN url = '' OR url LIKE '%.pdf' THEN 'skipped_url' WHEN html IS NULL THEN 'failed_get'
-        WHEN html = '' THEN 'failed_read' WHEN {_MAIN_SQL} = '' THEN 'empty_extract' ELSE 'success' END
-        AS outcome, count(*) AS n FROM pages GROUP BY 1""",
+    f"""WITH {MAIN_TEXTS} SELECT CASE WHEN url = '' OR url LIKE '%.pdf' THEN 'skipped_url' WHEN html IS NULL THEN 'failed_get'
+        WHEN html = '' THEN 'failed_read' WHEN main IS NULL THEN 'empty_extract' ELSE 'success' END
+        AS outcome, count(*) AS n FROM pages LEFT JOIN main_texts USING (page_id) GROUP BY 1""",
 )
 def extract_outcomes(spark, root):
     return fl.extract_outcomes(_pages(spark, root))

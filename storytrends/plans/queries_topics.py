@@ -14,6 +14,7 @@ from ..operators import topics as tp
 from ..operators.filters import titles_nonempty
 from ..operators.terms import term_rows
 from ..operators.similarity import nearest_centre
+from ..schema import JOB_INFO
 from ..session import scratch_path
 from ..sources import load_word2vec, stop_words, word_vectors_of
 from .queries_text import TITLES, TOKENIZED, VOCAB, sentences_sql, vocabulary
@@ -184,13 +185,14 @@ def lda_topics(spark, root):
     f"WITH {_WITH_TERMS} SELECT id, TRUE AS above, TRUE AS ordered FROM with_terms",
 )
 def lda_article_topics(spark, root):
-    """Texts with a topic: their kept topics reach 1/k, and the first one is the best."""
+    """Texts with a topic: their kept topics reach 1/k, fall, and begin with the best one."""
     _, counts, model = _lda(spark, root)
-    every = mo.lda_article_topics(model, counts)
-    kept = tp.top_topics(every, LDA_TOPICS).groupBy("id").agg(F.min("probability").alias("least"), F.max("probability").alias("most"))
-    best = tp.best_topic(every).select("id", F.col("probability").alias("best"))
-    return kept.join(best, "id").select(
-        "id", (F.col("least") >= 1 / LDA_TOPICS).alias("above"), (F.col("most") == F.col("best")).alias("ordered")
+    topics = tp.article_topics(model.transform(counts), "id", "topicDistribution", LDA_TOPICS)
+    weights = F.transform("topics", lambda t: t["probability"])
+    return topics.select(
+        "id",
+        F.forall(weights, lambda p: p >= 1 / LDA_TOPICS).alias("above"),
+        ((weights == F.sort_array(weights, asc=False)) & (F.get("topics", F.lit(0)) == F.col("best"))).alias("ordered"),
     )
 
 
@@ -260,11 +262,19 @@ def stop_words_roundtrip(spark, root):
     return stop_words(spark, path)
 
 
-@query("job_info_roundtrip", "SELECT CAST(count(*) AS BIGINT) AS topics, 'lda' AS name FROM nation")
+@query(
+    "job_info_roundtrip",
+    f"""WITH {_WITH_TERMS} SELECT CAST({LDA_TOPICS} AS BIGINT) AS topics, CAST({LDA_ROUNDS} AS BIGINT) AS rounds,
+        count(*) AS documents, (SELECT count(*) FROM vocab) AS terms,
+        (SELECT count(*) FROM corpus) - count(*) AS "emptyTexts" FROM with_terms""",
+)
 def job_info_roundtrip(spark, root):
-    """The record of a job with as many topics as nations, written and read again."""
+    """The record of the registered fit, written and read again."""
+    _, counts, model = _lda(spark, root)
     path = scratch_path(spark, "info")
-    topics = table(spark, root, "nation").count()
-    info = {"jobId": 1, "jobName": "lda", "description": "", "numTopics": topics, "maxIterations": 50}
-    sinks.write_job_info(spark, info, path)
-    return spark.read.json(path).select(F.col("numTopics").alias("topics"), F.col("jobName").alias("name"))
+    about = {"jobId": 1, "jobName": "lda", "description": ""}
+    sinks.write_job_info(spark, about | mo.fit_info(model, corpus(spark, root), counts, "id", LDA_ROUNDS), path)
+    return spark.read.schema(JOB_INFO).json(path).select(
+        F.col("numTopics").cast("long").alias("topics"), F.col("maxIterations").cast("long").alias("rounds"),
+        "documents", "terms", "emptyTexts",
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
+from ..operators import lsh
 from ..operators import similarity as si
 from ..operators.rows import array_rows
 from .queries_text import TITLES
@@ -218,6 +219,38 @@ def synonyms(spark, root):
     return found.select("query", "word", F.round("score", 6).alias("score"), "rank")
 
 
+# Neighbours of less cosine need not be found.
+LSH_COSINE = 0.35
+
+
+@query(
+    "nearest_words_lsh",
+    f"""WITH {VECTORS}, pairs AS (
+      SELECT q.id AS query, w.id AS word, {_SCORE.format('q.v', 'w.v')} AS score
+      FROM vectors q JOIN vectors w ON q.id <> w.id AND q.id % 4 = 0),
+    best AS (
+      SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, word) AS rank FROM pairs)
+    SELECT count(*) AS links, TRUE AS recalled, CAST(0 AS BIGINT) AS wrong FROM best WHERE rank <= 10 AND score >= {LSH_COSINE}""",
+)
+def nearest_words_lsh(spark, root):
+    """The ten nearest words by hash tables against those of the exact search.
+
+    ``recalled``: of the neighbours of at least LSH_COSINE, 95 % are found; ``wrong``: found
+    ones with another score than the exact search gives.
+    """
+    words = word_table(spark, root)
+    asked = words.filter("word % 4 = 0").withColumnRenamed("word", "query")
+    exact = si.nearest_words(asked, words, 10, exclude_self=True).filter(F.col("score") >= LSH_COSINE)
+    found = lsh.nearest_words_lsh(asked, words, 10, exclude_self=True, min_cosine=LSH_COSINE)
+    both = exact.join(found.select("query", "word", F.col("score").alias("found")), ["query", "word"], "left")
+    same = F.abs(F.col("score") - F.col("found")) < 1e-8
+    return both.agg(
+        F.count("*").alias("links"),
+        (F.count("found") >= 0.95 * F.count("*")).alias("recalled"),
+        F.count(F.when(~same, 1)).alias("wrong"),
+    )
+
+
 @query(
     "classify_nearest_label",
     f"""WITH {TITLE_VECTORS}, {MEANS.replace(VECTORS + ',', '')}, pairs AS (

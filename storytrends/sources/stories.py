@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +80,21 @@ def read_comments(spark: SparkSession, path: str, multi_line: bool = False) -> D
     """Single comments of a dump; one JSON document per line can be split over tasks."""
     dump = spark.read.schema(COMMENT_DUMP).option("multiLine", multi_line).json(path)
     return comment_rows(dump)
+
+
+def read_split_comments(spark: SparkSession, path: str, first_key: str = "created_at") -> DataFrame:
+    """Single comments of dumps of any size, also of one JSON document in one line or over many.
+
+    A file is cut where a further hit begins, ``,{"<first_key>"``, which no text can hold
+    since quotes are escaped there; so many tasks read one file. What a cut takes off a hit is
+    put back, and what stands between two documents is left out. Hits must begin with
+    ``first_key``, written without blanks around the brace; other dumps need ``read_comments``.
+    """
+    begin = f'{{"{first_key}"'
+    cut = spark.read.option("lineSep", f",{begin}").text(path)
+    # A piece goes on with a hit, and holds the first hits of the documents that begin in it.
+    parts = cut.select(F.explode(F.split("value", re.escape(f"[{begin}"))).alias("part"))
+    hits = parts.filter(F.col("part").rlike(r"^\s*:"))
+    hit = COMMENT_DUMP["hits"].dataType.elementType
+    parsed = F.from_json(F.concat(F.lit(begin), "part"), hit, {"mode": "FAILFAST"})
+    return hits.select(parsed.alias("hit")).select("hit.comment_text")

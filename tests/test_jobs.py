@@ -42,7 +42,9 @@ def test_lda_job(spark, folder, tmp_path):
     jobs.lda_job(spark, tokens, out, K, 10, drop_top=1, words_per_topic=2, info={"jobName": "2015-*"})
     assert spark.read.parquet(f"{out}/topics").count() == K * 2
     assert spark.read.parquet(f"{out}/clustering").selectExpr("min(probability) p").first().p >= 1 / K
-    assert spark.read.json(f"{out}/info").first().jobName == "2015-*"
+    info = spark.read.json(f"{out}/info").first()
+    terms = spark.read.parquet(f"{out}/tokenized").selectExpr("explode(words) w").distinct().count() - 1
+    assert (info.jobName, info.numTopics, info.documents, info.terms, info.emptyTexts) == ("2015-*", K, 120, terms, 0)
 
 
 def test_word2vec_kmeans_and_popularity_jobs(spark, folder, tmp_path):

@@ -41,3 +41,8 @@ def test_text_is_tokenized_once(spark, tables):
     text = plan(spark, tables, "title_vectors")
     assert "Filter ((size(flatten" not in text
     assert "Filter ((size(filter" not in plan(spark, tables, "bag_of_words")
+
+
+def test_topics_of_an_article_stay_in_its_row(spark, tables):
+    text = plan(spark, tables, "lda_article_topics")
+    assert "Exchange" not in text and "Window" not in text

@@ -2,12 +2,15 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from storytrends.functions import vectors as vx
+from storytrends.operators import lsh
 from storytrends.operators import similarity as si
 
 
@@ -57,13 +60,29 @@ def test_cosine_of_unequal_sizes_is_an_error(spark):
 
 def test_candidates_in_small_slices(monkeypatch, words):
     queries = words[3:20]
-    names, points = np.array([w for w, _ in words]), np.array([v for _, v in words])
-    labels, targets = np.array([w for w, _ in queries]), np.array([v for _, v in queries])
+    names, points = pa.array([w for w, _ in words]), np.array([v for _, v in words])
+    labels, targets = pa.array([w for w, _ in queries]), np.array([v for _, v in queries])
     for numbers in (10**6, 17 * 30, 5):
         monkeypatch.setattr(si, "SCORE_NUMBERS", numbers)
-        at, found, _ = si._candidates(names, points, labels, targets, 7, True)
-        got = {q: found[at == i].tolist() for i, q in enumerate(labels.tolist())}
-        assert got == brute_nearest(queries, words, 7, True)
+        kept = si._candidates(names[:70], points[:70], labels, targets, 7, True)
+        for at, found, _ in (
+            si._candidates(names, points, labels, targets, 7, True),
+            si._candidates(names[70:], points[70:], labels, targets, 7, True, kept),
+        ):
+            found = np.array(found.to_pylist())
+            got = {q: found[at == i].tolist() for i, (q, _) in enumerate(queries)}
+            assert got == brute_nearest(queries, words, 7, True)
+
+
+def test_candidates_with_one_very_long_name():
+    """Names stay in Arrow: one long name does not widen all others."""
+    names = pa.array(["x" * 2_000_000, *(f"w{i}" for i in range(2000))])
+    rng = np.random.default_rng(1)
+    points, targets = rng.standard_normal((2001, 4)), rng.standard_normal((5, 4))
+    tracemalloc.start()
+    at, found, _ = si._candidates(names, points, pa.array(list("abcde")), targets, 3, False)
+    assert len(at) == len(found) == 15 and tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
 
 
 @pytest.mark.parametrize("block_numbers", [10**6, 60])
@@ -170,3 +189,67 @@ def test_title_vectors_of_nulls_and_repeats(spark, block_numbers):
     rows = spark.createDataFrame([(1, ["a", None, "b"]), (1, ["a"]), (2, None), (3, [None])], "id int, words array<string>")
     found = si.title_vectors(rows, table, block_numbers=block_numbers).collect()
     assert sorted((r.id, tuple(r.vector)) for r in found) == [(1, (0.5, 2.0)), (1, (1.0, 0.0))]
+
+
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_of_many_dimensions_are_one_aggregate(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: (i * F.col("id")).cast("double")).alias("vector"))
+    summed = si.group_vector_sum(rows, "k", dim=100)
+    text = executed(summed)
+    assert text.count("partial_aggregate_metrics(") == 1 and text.count("partial_sum(") == 1
+    found = {r.k: r for r in summed.collect()}
+    for k in range(3):
+        ids = range(k, 1000, 3)
+        assert found[k].n == len(ids) and found[k].vector == pytest.approx([i * sum(ids) for i in range(1, 101)])
+
+
+def test_sums_of_null_vectors_count_rows(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("a", None), ("b", None)], "k string, vector array<double>")
+    found = {r.k: (r.vector, r.n) for r in si.group_vector_sum(rows, "k").collect()}
+    assert found == {"a": ([1.0, 2.0], 2), "b": ([0.0, 0.0], 1)}
+
+
+@pytest.fixture(scope="module")
+def planted():
+    """900 random words in 32 dimensions, and five near ones of each of 30 queries."""
+    rng = np.random.default_rng(11)
+    words = [(f"r{i:04d}", v.tolist()) for i, v in enumerate(rng.standard_normal((900, 32)))]
+    queries = []
+    for q in range(30):
+        base = rng.standard_normal(32)
+        queries.append((f"q{q:02d}", base.tolist()))
+        words += [(f"near{q:02d}_{i}", (base + rng.standard_normal(32) * s).tolist()) for i, s in enumerate((0.2, 0.4, 0.6, 0.8, 1.0))]
+    return queries, words
+
+
+@pytest.mark.parametrize("tile_rows", [4096, 10])
+def test_hash_tables_find_planted_words(spark, planted, tile_rows):
+    queries, words = planted
+    found = lsh.nearest_words_lsh(named(spark, queries, "query"), named(spark, words, "word"), 5, min_cosine=0.6, tile_rows=tile_rows).collect()
+    exact = si.nearest_words(named(spark, queries, "query"), named(spark, words, "word"), 5).filter("score >= 0.6").collect()
+    scores = {(r.query, r.word): r.score for r in found}
+    hits = [(r.query, r.word) for r in exact if (r.query, r.word) in scores]
+    assert len(exact) > 130 and len(hits) >= 0.95 * len(exact)
+    assert all(scores[r.query, r.word] == pytest.approx(r.score, abs=1e-9) for r in exact if (r.query, r.word) in scores)
+
+
+def test_hash_tables_with_copies_zeros_and_ties(spark, words):
+    """With one bucket a table everything is met, so the result is the exact one, also among many copies."""
+    rows = words + [("none", None)]
+    queries = words[:30] + [("nil", None), ("zero", [0.0] * 6)]
+    for exclude_self in (False, True):
+        found = lsh.nearest_words_lsh(named(spark, queries, "query"), named(spark, rows, "word"), 7, exclude_self, min_cosine=-1.0, recall=1 - 1e-9, tile_rows=40)
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: r["rank"]):
+            got.setdefault(r.query, []).append(r.word)
+        assert got == {q: w for q, w in brute_nearest(words[:30], words, 7, exclude_self).items() if w}
+
+
+def test_planned_tables_follow_size_and_similarity():
+    small, large = lsh.plan_tables(1000, 0.6), lsh.plan_tables(1_000_000, 0.6)
+    assert large.bits > small.bits and large.count > small.count
+    assert lsh.plan_tables(1000, 0.9).count < small.count
+    assert lsh.plan_tables(0, 0.5).bits == 1 and lsh.plan_tables(10**12, 0.5).bits == lsh.MAX_BITS
