@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks, sources
 from ..functions.text import ascii_normalize, split_words, token_filter
+from ..operators import em
 from ..operators import models as mo
 from ..operators import popularity as pop
 from ..operators import similarity as si
@@ -89,21 +90,28 @@ def lda_job(
     """Topics of tokenized texts: ``topics``, ``clustering``, ``info`` and the model.
 
     ``info`` counts the texts fitted, the terms, and the texts left out since they have no
-    term. ``min_count`` leaves rare terms out of the vocabulary, which the online optimizer
-    keeps on the driver once per topic.
+    term. ``em`` keeps all weights on the executors; ``online`` keeps the vocabulary on the
+    driver once per topic, and ``min_count`` leaves rare terms out of it.
     """
     counts = te.count_terms(array_rows(tokens, "id", F.col("words"), "term"))
     vocab = te.vocabulary(counts, drop_top, min_count)
     vectors = mo.count_vectors(tokens, "id", "words", vocab)
-    model = mo.lda_fit(vectors, k, max_iter, optimizer, seed)
-    topics = mo.lda_topics(model, vocab, words_per_topic)
+    if optimizer == "em":
+        fitted = em.em_fit(vectors, "id", k, max_iter, seed)
+        topics, terms = em.em_topics(fitted, vocab, words_per_topic), fitted.terms
+        distributions = em.em_distributions(fitted)
+        em.save_topics(fitted, f"{out}/model")
+    else:
+        model = mo.lda_fit(vectors, k, max_iter, optimizer, seed)
+        topics, terms = mo.lda_topics(model, vocab, words_per_topic), model.vocabSize()
+        distributions = model.transform(vectors)
+        sinks.save_model(model, f"{out}/model")
     sinks.write_topics(topics.select(F.col("topic").alias("topicId"), "word", "weight"), f"{out}/topics")
-    kept = tp.topic_rows(tp.article_topics(model.transform(vectors), "id", "topicDistribution", k))
+    kept = tp.topic_rows(tp.article_topics(distributions, "id", "topicDistribution", k))
     columns = (F.col("id").alias("objectID"), F.col("topic").alias("topicId"), "probability")
     sinks.write_clustering(kept.select(*columns), f"{out}/clustering")
     about = {"jobId": 1, "jobName": "lda", "description": "", **(info or {})}
-    sinks.write_job_info(spark, about | mo.fit_info(model, tokens, vectors, "id", max_iter), f"{out}/info")
-    sinks.save_model(model, f"{out}/model")
+    sinks.write_job_info(spark, about | mo.fit_info(tokens, vectors, "id", k, terms, max_iter), f"{out}/info")
 
 
 def word2vec_job(spark: SparkSession, path: str, model_path: str, **options) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..functions.vectors import vec_norm
+from ..operators import em
 from ..operators import models as mo
 from ..operators import topics as tp
 from ..operators.filters import titles_nonempty
@@ -142,7 +143,7 @@ def _lda(spark, root):
     vocab = vocabulary(spark, root)
     words = docs.select("id", filtered_words(docs).alias("words"))
     counts = mo.count_vectors(words, "id", "words", vocab)
-    return vocab, counts, mo.lda_fit(counts, LDA_TOPICS, LDA_ROUNDS)
+    return vocab, counts, em.em_fit(counts, "id", LDA_TOPICS, LDA_ROUNDS)
 
 
 @query(
@@ -154,12 +155,13 @@ def lda_fit(spark, root):
     """A fresh fit: texts and terms it covers, topics, and texts whose weights do not sum to one."""
     _lda.cache_clear()
     _, counts, model = _lda(spark, root)
-    sums = mo.lda_article_topics(model, counts).groupBy("id").agg(F.sum("probability").alias("p"), F.count("*").alias("k"))
+    whole = F.aggregate("topicDistribution", F.lit(0.0), lambda total, p: total + p)
+    sums = em.em_distributions(model).select(whole.alias("p"), F.size("topicDistribution").alias("k"))
     wrong = (F.abs(F.col("p") - 1) > 1e-6) | (F.col("k") != LDA_TOPICS)
     return sums.agg(
         F.count("*").alias("documents"),
-        F.lit(model.vocabSize()).cast("bigint").alias("terms"),
-        F.max("k").alias("topics"),
+        F.lit(model.terms).cast("bigint").alias("terms"),
+        F.max("k").cast("bigint").alias("topics"),
         F.count(F.when(wrong, 1)).alias("violations"),
     )
 
@@ -172,7 +174,7 @@ def lda_fit(spark, root):
 def lda_topics(spark, root):
     """Per topic the words listed, and those out of order, without weight or not in the vocabulary."""
     vocab, _, model = _lda(spark, root)
-    listed = mo.lda_topics(model, vocab, LDA_WORDS)
+    listed = em.em_topics(model, vocab, LDA_WORDS)
     before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
     known = vocab.select(F.col("term").alias("word"), F.lit(True).alias("known"))
     judged = listed.withColumn("before", before).join(known, "word", "left")
@@ -186,8 +188,8 @@ def lda_topics(spark, root):
 )
 def lda_article_topics(spark, root):
     """Texts with a topic: their kept topics reach 1/k, fall, and begin with the best one."""
-    _, counts, model = _lda(spark, root)
-    topics = tp.article_topics(model.transform(counts), "id", "topicDistribution", LDA_TOPICS)
+    _, _, model = _lda(spark, root)
+    topics = tp.article_topics(em.em_distributions(model), "id", "topicDistribution", LDA_TOPICS)
     weights = F.transform("topics", lambda t: t["probability"])
     return topics.select(
         "id",
@@ -200,7 +202,7 @@ def lda_article_topics(spark, root):
 def lda_likelihood(spark, root):
     """Documents, and whether their mean log likelihood is a finite number below zero."""
     _, counts, model = _lda(spark, root)
-    value = mo.lda_likelihood(model, counts)
+    value = em.em_likelihood(model)
     return counts.agg(F.count("*").alias("documents")).withColumn("below_zero", F.lit(-1e9 < value < 0))
 
 
@@ -273,7 +275,7 @@ def job_info_roundtrip(spark, root):
     _, counts, model = _lda(spark, root)
     path = scratch_path(spark, "info")
     about = {"jobId": 1, "jobName": "lda", "description": ""}
-    sinks.write_job_info(spark, about | mo.fit_info(model, corpus(spark, root), counts, "id", LDA_ROUNDS), path)
+    sinks.write_job_info(spark, about | mo.fit_info(corpus(spark, root), counts, "id", model.k, model.terms, LDA_ROUNDS), path)
     return spark.read.schema(JOB_INFO).json(path).select(
         F.col("numTopics").cast("long").alias("topics"), F.col("maxIterations").cast("long").alias("rounds"),
         "documents", "terms", "emptyTexts",

@@ -72,6 +72,16 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut_lineage`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    root = scratch_dir(spark).removeprefix("file://")
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if root in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def collect_bounded(df: DataFrame, max_rows: int) -> pa.Table | None:
     """All rows of ``df`` as Arrow if there are at most ``max_rows``, else None.
 
