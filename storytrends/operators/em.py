@@ -144,7 +144,9 @@ class _Held:
 def _summed(parts: DataFrame, name: str) -> DataFrame:
     total = Summarizer.metrics("sum").summary(array_to_vector("w")).alias("s")
     summed = parts.groupBy("kind", "block").agg(total)
-    return cut_lineage(summed.select("kind", "block", vector_to_array("s.sum").alias("w")), name)
+    # Weights hardly repeat, so a dictionary of them is no use.
+    options = {"parquet.enable.dictionary": "false", "compression": "none"}
+    return cut_lineage(summed.select("kind", "block", vector_to_array("s.sum").alias("w")), name, **options)
 
 
 def _start(cells: DataFrame, k: int, rows: int, seed: int) -> DataFrame:
@@ -235,7 +237,9 @@ def em_fit(
     if first is None:
         raise ValueError("there are no texts")
     rows = max(1, block_numbers // k)
-    table = cut_lineage(_cells(vectors, id, rows, _stripes(first[0].size, rows)), "cells")
+    # Whole blocks of texts, since every one of them meets every block of terms.
+    dealt = vectors.coalesce(max(1, -(-vectors.count() // rows)))
+    table = cut_lineage(_cells(dealt, id, rows, _stripes(first[0].size, rows)), "cells")
     cells = table.filter(F.col("terms").isNotNull()).drop("ids")
     ids = table.filter(F.col("terms").isNull()).select("block", "ids")
     sums = _summed(_start(cells, k, rows, seed), "weights")

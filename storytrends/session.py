@@ -60,7 +60,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     Unlike a checkpoint this runs the plan once and keeps column pruning; unlike a
@@ -68,7 +68,7 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
