@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import spans
 from .common import components, hot_keys, lookup, written
 from .shingles import OTHER, PRIME, mix, shingles, similarity
 
 BANDS = 24
 ROWS = 4
 SIMILARITY = 0.8
-#: Members compared with one copy of a bucket's centre, and documents of one block.
-CHUNK = 64
+#: Members compared with one copy of a bucket's centre, and documents of one block: some megabytes of sets.
+CHUNK = 512
 
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, sets: int, k: int) -> np.ndarray:
@@ -195,13 +196,38 @@ def last_edges(mixed: DataFrame) -> DataFrame:
     return other.select(F.col("doc_id").alias("a"), F.col("last.doc_id").alias("b")).distinct()
 
 
+class Strays:
+    """Sets of one block, by shingle: a further set is compared with all of them at once."""
+
+    def __init__(self, held: list[tuple[int, int, np.ndarray]]) -> None:
+        docs, labels, sets = zip(*held, strict=True)
+        self.docs, self.labels = np.array(docs), np.array(labels)
+        self.sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.values, self.starts = np.unique(flat[order], return_index=True)
+        self.counts = np.diff(np.append(self.starts, len(flat)))
+
+    def links(self, found: np.ndarray, label: int, threshold: float) -> list[int]:
+        """One similar document of every other component; the rest of it is linked with that one already."""
+        at = np.searchsorted(self.values, found)
+        at[at == len(self.values)] = 0
+        at = at[self.values[at] == found]
+        common = np.bincount(self.owner[spans(self.starts[at], self.counts[at])], minlength=len(self.docs))
+        similar = common / (self.sizes + len(found) - common) >= threshold
+        near = np.flatnonzero(similar & (self.labels != label))
+        _, first = np.unique(self.labels[near], return_index=True)
+        return self.docs[near[first]].tolist()
+
+
 def cross_links(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links inside buckets between documents that lie in different components so far.
 
     Members of a bucket's most frequent component are linked among themselves already; only
     the others, its strays, are compared with everyone. Strays are dealt to blocks of about
     CHUNK. Each block of strays meets each block of members in one tile, which compares
-    pairs of different components and returns links, not pairs.
+    documents of different components and returns one link for each pair of a member and a component.
     """
     # Buckets of the same documents need one comparison: one key per content stays.
     content = mixed.groupBy("key").agg(F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n"))
@@ -222,17 +248,18 @@ def cross_links(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, index = None, [], None
         for batch in batches:
             links = []
             for key, low, high, side, doc, label, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if at != (key, low, high):
-                    at, held = (key, low, high), []
+                    at, held, index = (key, low, high), [], None
                 found = np.frombuffer(data, np.uint64)
                 if side == 0:
                     held.append((doc, label, found))
                     continue
-                links += [(doc, other) for other, own_label, own in held if own_label != label and similarity(found, own) >= threshold]
+                index = index or Strays(held)
+                links += [(doc, other) for other in index.links(found, label, threshold)]
             columns = list(zip(*links, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
