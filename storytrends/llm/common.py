@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storytrends.session import cut_lineage as written
+from storytrends.session import drop_written
 
 #: A key is hot if it holds more than this share of all rows, so there are at most 2,000 hot keys.
 HOT_SHARE = 1 / 2000
@@ -92,10 +93,12 @@ def components(edges: DataFrame) -> DataFrame:
             labels.join(heard, "node", "left").select("node", "label", F.least("label", "heard").alias("low")), "labels"
         )
         up = near.select(F.col("node").alias("low"), F.col("low").alias("up"))
-        labels = written(
+        before, labels = labels, written(
             lookup(near, up, "low").select("node", F.least("low", "up").alias("label"), (F.col("label") != F.least("low", "up")).alias("moved")),
             "labels",
         )
+        drop_written(before)
+        drop_written(near)
         if not labels.filter("moved").limit(1).count():
+            drop_written(both)
             return labels.select("node", F.col("label").alias("component"))
-        labels = labels.drop("moved")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storytrends.session import drop_written
+
 from .bpe import spans
 from .common import components, hot_keys, lookup, written
 from .shingles import OTHER, PRIME, mix, shingles, similarity
@@ -293,15 +295,20 @@ def near_duplicates(
     all_rows = heads.count() * bands
     hot = [r[0] for r in buckets.filter(F.col("n") > all_rows / 2000).select("key").collect()]
     members = written(lookup(spread, buckets.drop("n"), "key", hot), "members")
+    same = known.filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    same, ids = written(same, "same"), written(signed.select("doc_id"), "ids")
+    for table in (signed, known, buckets):  # signatures are the bulk, and nothing reads them any more
+        drop_written(table)
     sets = written(shingle_sets(docs, members.select("doc_id", "text_hash").distinct()), "sets")
     star = members.filter("doc_id <> lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")).distinct()
-    links = written(verified(star, sets, threshold), "links")
-    members = members.select("key", "doc_id").distinct()
-    mixed = labelled(members, links)
-    links = links.unionByName(written(verified(last_edges(mixed), sets, threshold), "links"))
-    mixed = labelled(mixed.select("key", "doc_id"), links)
-    links = links.unionByName(cross_links(mixed, sets, threshold))
-    same = known.filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    found = components(links.unionByName(same)).withColumnsRenamed({"node": "doc_id", "component": "class_id"})
-    out = signed.select("doc_id").join(found, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    first_links = written(verified(star, sets, threshold), "links")
+    first_mixed = labelled(members.select("key", "doc_id").distinct(), first_links)
+    links = written(first_links.unionByName(verified(last_edges(first_mixed), sets, threshold)), "links")
+    mixed = labelled(first_mixed.select("key", "doc_id"), links)
+    every = written(links.unionByName(cross_links(mixed, sets, threshold)).unionByName(same), "links")
+    for table in (members, sets, first_links, first_mixed, links, mixed, same):
+        drop_written(table)
+    found = components(every).withColumnsRenamed({"node": "doc_id", "component": "class_id"})
+    drop_written(every)
+    out = ids.join(found, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))

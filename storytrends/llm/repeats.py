@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from storytrends.session import drop_written
+
 from .anchors import GRAM, LENGTH, anchors
 from .common import lookup, written
 from .shingles import PRIME, mix
@@ -322,6 +324,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     )
     rows = docs.join(marked.hint("shuffle_hash"), ["doc_id", "tie"], "left")
     texts = bucketed(rows.withColumn("copy", F.coalesce("copy", F.lit(False))), files, "doc_id", "tie")
+    drop_written(digests)
+    drop_written(copies)
     sources = texts.filter(F.col("hs").isNotNull() & ~F.col("copy"))
     ranges = repeated_ranges(sources)
 
