@@ -60,13 +60,14 @@ def write_archive(pages: DataFrame, path: str, date: str = DATE) -> None:
 
     Of equal payloads of REVISIT_BYTES or more, the smallest (page_id, url) is the response. Blanks and
     control characters are cut out of addresses; a null address has no target header. Rows
-    that repeat page_id, url and payload repeat their records under the same ids.
+    that repeat page_id, url and payload repeat their records under the same ids. A null page_id stays
+    null; such a page is never the one that others revisit, unless none with its payload has an id, and is itself a response.
     """
     digests = written(with_digest(pages).drop("html"), "digests")
     firsts = (
         digests.filter(F.col("size") >= REVISIT_BYTES)
         .groupBy("digest")
-        .agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
         .select("digest", "first")
     )
@@ -229,11 +230,11 @@ def page_captures(spark: SparkSession, path: str) -> DataFrame:
     """Captures of an archive made by ``write_archive``, as digests per page."""
     fields = F.col("metadata.fields")
     return captures(read_records(spark, path)).select(
-        fields["page-id"].cast("long").alias("page_id"),
+        fields["page-id"].try_cast("long").alias("page_id"),
         "payload_bytes",
         "payload_digest",
         F.col("type").alias("record_type"),
-        fields["first-page-id"].cast("long").alias("refers_to"),
+        fields["first-page-id"].try_cast("long").alias("refers_to"),
     )
 
 
