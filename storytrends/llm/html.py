@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as markup
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -75,7 +76,14 @@ def parse(page: str) -> Node:
     """The tree of a page; unclosed and misplaced tags are mended as browsers do, in short."""
     root = Node("html", None, False)
     stack, at = [root], 0
+    # Open elements by name, so that no tag searches the stack for what is not there.
+    opened: Counter[str] = Counter()
     lower = None
+
+    def close(depth: int) -> None:
+        opened.subtract(node.tag for node in stack[depth:])
+        del stack[depth:]
+
     while True:
         match = TOKEN.search(page, at)
         text = page[at : match.start()] if match else page[at:]
@@ -89,25 +97,25 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if match.group(1):
-            depth = len(stack) - 1
-            while depth > 0 and stack[depth].tag != name:
-                depth -= 1
-            if depth > 0:
-                del stack[depth:]
+            if opened[name] > 0:
+                depth = len(stack) - 1
+                while stack[depth].tag != name:
+                    depth -= 1
+                close(depth)
             continue
         if name in ("html", "body"):
             continue
-        if name in ENDS_P:
+        if name in ENDS_P and opened["p"] > 0:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":
-                    del stack[depth:]
+                    close(depth)
                     break
                 if stack[depth].tag not in INLINE:
                     break
-        if name in SELF_ENDING:
+        if any(opened[kind] > 0 for kind in SELF_ENDING.get(name, ())):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag in SELF_ENDING[name]:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if stack[depth].tag in SCOPES:
                     break
@@ -115,7 +123,7 @@ def parse(page: str) -> Node:
         attributes = match.group(3) or ""
         foreign = parent.foreign or name in FOREIGN
         if not parent.foreign and (attributes or name == "header"):
-            inside = any(n.tag in ("article", "main") for n in stack)
+            inside = opened["article"] > 0 or opened["main"] > 0
             foreign = name in FOREIGN and not (inside and name == "header") or foreign_name(attributes, inside)
         node = Node(name, parent, foreign)
         parent.children.append(node)
@@ -129,6 +137,7 @@ def parse(page: str) -> Node:
             at = close + 1 if close >= 0 else len(page)
         elif name not in VOID and not attributes.rstrip().endswith("/"):
             stack.append(node)
+            opened[name] += 1
 
 
 def body_figures(root: Node) -> tuple[int, int]:
@@ -248,7 +257,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page; a null or textless page has an empty text.
 
     Rows are independent: repeated rows give repeated rows, an empty table gives none, and
-    other columns are not read. A page is parsed as a whole, in time linear in its length.
+    other columns are not read. A page is parsed as a whole, in time linear
+    in its length unless a tag holds a quote that is never closed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
