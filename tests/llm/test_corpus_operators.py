@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections import defaultdict
 
@@ -161,14 +162,17 @@ def test_vector_links_equal_brute_force(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found.values())
 
 
-def test_vector_query_recall(spark, tables):
-    root = tables.replace("sf0.001", "check_h").replace("sf0.01", "check_h")
-    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{root}/embeddings.parquet").filter("vec_id < 2500").collect()}
-    frame = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>")
-    count, parts = brute_links({i: list(map(float, v)) for i, v in rows.items()}) if len(rows) < 600 else _fast_links(rows)
-    found = {r.vec_id: r for r in pivots.links(frame).collect()}
-    assert all(found[i].n_links <= count[i] for i in rows)
-    assert sum(r.n_links for r in found.values()) >= 0.9 * sum(count.values())
+def test_vector_links_are_recalled(spark):
+    """Planted near vectors in 48 dimensions, from just above the threshold to nearly equal, among strangers."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((120, 48))
+    near = [b + rng.standard_normal(48) * s for b in base for s in (0.05, 0.2, 0.35, 0.45)]
+    everything = [*base, *near, *rng.standard_normal((1500, 48)), *base[:5]]
+    rows = {i: [float(np.float32(x)) for x in v] for i, v in enumerate(everything)}
+    count, parts = _fast_links(rows)
+    found = {r.vec_id: r for r in pivots.links(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>")).collect()}
+    assert sum(count.values()) > 500 and all(found[i].n_links <= count[i] for i in rows)
+    assert sum(r.n_links for r in found.values()) >= 0.95 * sum(count.values())
     assert np.mean([found[i].component_id == parts[i] for i in rows]) > 0.99
 
 
@@ -339,3 +343,27 @@ def test_pipeline_loses_no_rows_without_or_of_one_id(spark, tables):
 
 def test_queries_are_complete():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_pages_without_an_id(spark, tmp_path):
+    """A null page_id stays null, is a response, and is never what others revisit."""
+    same = "<p>" + "the same payload " * 20 + "</p>"
+    rows = [(None, "http://x/0", same), (7, "http://x/7", same), (9, "http://x/9", same), (None, "http://x/n", None), (3, None, "short")]
+    path = str(tmp_path / "archive")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    found = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.page_captures(spark, path).collect())
+    size = len(same)
+    assert found == [("3", 5, "response", None), ("7", size, "response", None), ("9", size, "revisit", 7), ("None", 0, "response", None), ("None", size, "response", None)]
+
+
+def test_near_duplicates_leave_no_superseded_tables(spark, tmp_path):
+    """Only what the result reads stays in the shared folder."""
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join([*words[:n], "x", *words[n + 1 :]]) for n in range(12)] * 2
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = common.written(frame, "probe").inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+    before = set(os.listdir(root))
+    found = minhash.near_duplicates(frame)
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(root)) - before}
+    assert not left & {"signatures", "texts", "members", "sets", "mixed", "edges"}, left
+    assert found.select("class_id").distinct().count() == 1

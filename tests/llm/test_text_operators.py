@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -167,3 +168,13 @@ def test_empty_tables(docs, run):
 
 def test_fold_needs_no_label(docs):
     assert docs.select(quality.held_out().alias("h")).filter(F.col("h").isNull()).count() == 0
+
+
+def test_hostile_pages_are_parsed_in_linear_time():
+    """Half a megabyte of unmatched, unclosed or alternating tags each."""
+    n = 60_000
+    pages = ["<div>" * n + "text", "</b>" * n + "<div>" * n + "</i>" * n, "<b>" * n + "<p>x</p>" * n, "<b>" * n + "<li>x</li>" * n, "<div id=a>" * n]
+    start = time.time()
+    for page in pages:
+        html.parse(page)
+    assert time.time() - start < 20
