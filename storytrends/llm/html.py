@@ -80,7 +80,7 @@ def parse(page: str) -> Node:
     opened: Counter[str] = Counter()
     lower = None
 
-    def close(depth: int) -> None:
+    def end_from(depth: int) -> None:
         opened.subtract(node.tag for node in stack[depth:])
         del stack[depth:]
 
@@ -101,21 +101,21 @@ def parse(page: str) -> Node:
                 depth = len(stack) - 1
                 while stack[depth].tag != name:
                     depth -= 1
-                close(depth)
+                end_from(depth)
             continue
         if name in ("html", "body"):
             continue
         if name in ENDS_P and opened["p"] > 0:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":
-                    close(depth)
+                    end_from(depth)
                     break
                 if stack[depth].tag not in INLINE:
                     break
         if any(opened[kind] > 0 for kind in SELF_ENDING.get(name, ())):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag in SELF_ENDING[name]:
-                    close(depth)
+                    end_from(depth)
                     break
                 if stack[depth].tag in SCOPES:
                     break
