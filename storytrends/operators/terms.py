@@ -16,8 +16,8 @@ from .rows import array_rows, row_keyed
 
 # Rows of the vocabulary that may go to every task: some tens of megabytes.
 HOT_TERMS = 500_000
-# Dictionary entries that may be shipped to every task.
-DICTIONARY_ROWS = 500_000
+# Dictionary entries that may be shipped to every task: some 100 MB of short strings.
+DICTIONARY_ROWS = 4_000_000
 
 _ROW_BITS = 33  # monotonically_increasing_id holds the row number in its low 33 bits
 
@@ -186,8 +186,9 @@ def term_normalize(
         forms, bases = shipped.value
         for batch in batches:
             lists, plain = batch.column(1), batch.column(2)
-            found = bases.take(pc.index_in(lists.flatten(), value_set=forms))
-            flat = pc.coalesce(found.cast(pa.string()), plain.flatten().cast(pa.string()))
+            flat = pc.coalesce(
+                based(lists.flatten(), forms, bases).cast(pa.string()), plain.flatten().cast(pa.string())
+            )
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), rebuild_lists(lists, flat)], [id, "words"]
             )
@@ -195,6 +196,19 @@ def term_normalize(
     return ready.mapInArrow(replace, out)
 
 
+def based(words: pa.Array, forms: pa.Array, bases: pa.Array) -> pa.Array:
+    """The base of each word, null if it is no form.
+
+    The forms look into the different words of a batch, which are fewer: no table of
+    the whole dictionary is built for every batch.
+    """
+    coded = words.dictionary_encode()
+    at = pc.index_in(forms, value_set=coded.dictionary)
+    entry = np.full(len(coded.dictionary), -1)
+    entry[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    return bases.take(pa.array(entry, mask=entry < 0)).take(coded.indices)
+
+
 def rebuild_lists(lists: pa.ListArray, flat: pa.Array) -> pa.ListArray:
     """Cut ``flat`` into lists of the lengths of ``lists``; nulls stay null."""
     ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))

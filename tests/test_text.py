@@ -252,3 +252,13 @@ def test_vocabulary_reads_the_texts_once(spark):
     assert [(r.term, r.n, r.idx) for r in found] == [(r.term, r.n, i) for i, r in enumerate(r for r in every if r.n >= 3)]
     plan = te.vocab_trimmed(counts, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftAnti" not in plan
+
+
+def test_dictionary_of_many_forms_stays_in_place(spark):
+    """A dictionary larger than a batch, as titles of a large table give it, needs no shuffle of the words."""
+    forms = spark.range(600_000).select(F.concat(F.lit("form"), "id").alias("form"), F.concat(F.lit("b"), "id").alias("base"))
+    rows = [(1, ["form7", None, "other", "form7", "form599999"]), (2, None), (3, [])]
+    texts = spark.createDataFrame(rows, "id int, words array<string>")
+    done = te.term_normalize(texts, "id", "words", forms, None)
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.words for r in done.collect()} == {1: ["b7", None, "other", "b7", "b599999"], 2: None, 3: []}
