@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,28 @@ def test_ascii_normalize_breaks_accents(spark):
     assert apply(spark, ["Éa-b.c  D!"], tx.ascii_normalize) == [" a b.c d "]
 
 
+def test_ascii_normalize_replaces_every_other_character(spark):
+    points = [p for p in [*range(0x3000), *range(0xD7F0, 0xE010), *range(0xFFF0, 0x10010), 0x1F600, 0x10FFFF] if not 0xD800 <= p < 0xE000]
+    texts = [f"x{chr(p)}{chr(p)}y" for p in points]
+    lowered = apply(spark, texts, F.lower)
+    assert apply(spark, texts, tx.ascii_normalize) == [re.sub(r"[^a-z0-9.]+", " ", text) for text in lowered]
+
+
+def test_ascii_normalize_is_faster_than_a_negated_class(spark):
+    """Seconds of the pattern against those of the same class written as a negation (a quarter or less)."""
+    text = F.repeat(F.lit("Some words, and a few more: 12.5 of them\n"), 1000)
+    texts = spark.range(0, 400, 1, 4).select(F.concat(F.col("id").cast("string"), text).alias("text"))
+
+    def seconds(plain):
+        start = time.monotonic()
+        texts.select(F.sum(F.length(plain))).collect()
+        return time.monotonic() - start
+
+    negated = F.regexp_replace(F.lower("text"), r"[^a-z0-9.]+", " ")
+    best = [min(seconds(plain) for _ in range(3)) for plain in (tx.ascii_normalize(F.col("text")), negated)]
+    assert best[0] < 0.7 * best[1]
+
+
 def test_token_filter(spark):
     df = spark.createDataFrame([(["The", "WOULD", "tree", "b2b4", "über", "abc", "é1234", ""],)], "w array<string>")
     strict = tx.token_filter(F.col("w"), ["would"])
