@@ -17,6 +17,7 @@ from ..operators import em
 from ..operators import models as mo
 from ..operators import popularity as pop
 from ..operators import similarity as si
+from ..operators import skipgram
 from ..operators import terms as te
 from ..operators import topics as tp
 from ..operators import explore as ex
@@ -118,7 +119,7 @@ def word2vec_job(spark: SparkSession, path: str, model_path: str, **options) ->
     """Word vectors trained on all titles and all sentences of the texts."""
     stories = sources.read_stories(spark, path)
     sentences = mo.training_sentences(_titles(stories), _texts(stories))
-    sinks.save_model(mo.word2vec_fit(sentences, **options), model_path)
+    sinks.write_word_vectors(skipgram.vectors_fit(sentences, **options), model_path)
 
 
 def kmeans_job(
@@ -132,7 +133,7 @@ def kmeans_job(
     seed: int = 1,
 ) -> None:
     """Clusters of title vectors: ``clustering`` and ``topics``, their nearest words."""
-    words = sources.word_vectors_of(sources.load_word2vec(model_path))
+    words = sources.read_word_vectors(spark, model_path)
     vectors = si.title_vectors(_titles(sources.read_stories(spark, path)), words)
     vectors.write.mode("errorifexists").parquet(f"{out}/vectors")
     vectors = spark.read.parquet(f"{out}/vectors")
@@ -159,7 +160,7 @@ def classify_job(
     Titles without a known word have no label. Returns the labels that the model lacks.
     """
     labels = list(labels)
-    words = sources.word_vectors_of(sources.load_word2vec(model_path))
+    words = sources.read_word_vectors(spark, model_path)
     known = si.label_vectors(words, labels)
     vectors = si.title_vectors(_titles(sources.read_stories(spark, path)), words)
     si.classify_nearest_label(vectors, known).write.mode("errorifexists").parquet(out)

@@ -11,13 +11,14 @@ from .. import sinks
 from ..functions.vectors import vec_norm
 from ..operators import em
 from ..operators import models as mo
+from ..operators import skipgram
 from ..operators import topics as tp
 from ..operators.filters import titles_nonempty
 from ..operators.terms import term_rows
 from ..operators.similarity import nearest_centre
 from ..schema import JOB_INFO
 from ..session import scratch_path
-from ..sources import load_word2vec, stop_words, word_vectors_of
+from ..sources import read_word_vectors, stop_words
 from .queries_text import TITLES, TOKENIZED, VOCAB, sentences_sql, vocabulary
 from .registry import on_corpus, query
 from .views import STOP, article_topics, corpus, filtered_words, table, tokenized, vectors
@@ -212,16 +213,19 @@ SELECT word, TRUE AS trained FROM used GROUP BY 1 HAVING count(*) >= {WORD_USES}
 
 @functools.lru_cache(maxsize=8)
 def _word2vec(spark, root):
-    return mo.word2vec_fit(_sentences(spark, root), dim=WORD_DIM, min_count=WORD_USES, partitions=WORD_PARTITIONS)
+    """Word vectors, trained once per session and folder."""
+    sentences = _sentences(spark, root)
+    return skipgram.vectors_fit(sentences, dim=WORD_DIM, min_count=WORD_USES, partitions=WORD_PARTITIONS)
 
 
 @query("word2vec_fit", _TRAINED)
 def word2vec_fit(spark, root):
     """Words of the model, and whether their vectors have the size and a length."""
     _word2vec.cache_clear()
-    words = word_vectors_of(_word2vec(spark, root))
-    trained = (F.size("vector") == WORD_DIM) & (vec_norm(F.col("vector")) > 0)
-    return words.select("word", trained.alias("trained"))
+    length = vec_norm(F.col("vector").cast("array<double>"))
+    # An infinite or undefined length is beyond every finite one.
+    trained = (F.size("vector") == WORD_DIM) & (length > 0) & (length < F.lit(float("inf")))
+    return _word2vec(spark, root).select("word", trained.alias("trained"))
 
 
 @query("word2vec_roundtrip", _TRAINED)
@@ -229,10 +233,10 @@ def word2vec_roundtrip(spark, root):
     """The model saved and loaded again, compared word by word."""
     model = _word2vec(spark, root)
     path = scratch_path(spark, "word2vec")
-    sinks.save_model(model, path)
-    loaded = word_vectors_of(load_word2vec(path)).withColumnRenamed("vector", "loaded")
-    both = word_vectors_of(model).join(loaded, "word")
-    return both.select("word", (F.col("vector") == F.col("loaded")).alias("trained"))
+    sinks.write_word_vectors(model, path)
+    loaded = read_word_vectors(spark, path).withColumnRenamed("vector", "loaded")
+    both = model.join(loaded, "word")
+    return both.select("word", (F.col("vector").cast("array<double>") == F.col("loaded")).alias("trained"))
 
 
 @query(

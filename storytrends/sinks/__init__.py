@@ -43,6 +43,11 @@ def save_model(model: MLWritable, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def write_word_vectors(vectors: DataFrame, path: str) -> None:
+    """``word, vector``, written by the tasks that hold them; an older table gives way."""
+    vectors.select("word", F.col("vector").cast("array<float>")).write.mode("overwrite").parquet(path)
+
+
 def day_name(day: Column) -> Column:
     return F.concat(F.lit("stories-"), F.date_format(day, "yyyy-MMMM-d"))
 

@@ -2,7 +2,7 @@
 
 from .store import read_months, write_months
 from .stories import comment_rows, in_period, period_glob, read_comments, read_split_comments, read_stories
-from .words import load_word2vec, read_tokenized, read_topic_words, stop_words, word_vectors_of
+from .words import load_word2vec, read_tokenized, read_topic_words, read_word_vectors, stop_words, word_vectors_of
 
 __all__ = [
     "comment_rows",
@@ -15,6 +15,7 @@ __all__ = [
     "read_stories",
     "read_tokenized",
     "read_topic_words",
+    "read_word_vectors",
     "stop_words",
     "word_vectors_of",
     "write_months",

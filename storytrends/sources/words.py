@@ -47,6 +47,11 @@ def stop_words(
     return words.filter(F.col("word") != "").distinct()
 
 
+def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """``word, vector`` of a table of word vectors."""
+    return spark.read.parquet(path).select("word", F.col("vector").cast("array<double>").alias("vector"))
+
+
 def load_word2vec(path: str) -> Word2VecModel:
     return Word2VecModel.load(path)
 
