@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, drop_written
+from ..session import cut_lineage, drop_written, settings
 
 # Words of the sentences of one part; a part holds two vectors per different word of them.
 PART_WORDS = 8_000_000
@@ -32,6 +32,10 @@ NEGATIVES, BATCH, SHARED = 5, 128, 64
 DRAWS = 256
 # Rows of vectors that a task passes on at a time.
 ROWS = 4096
+# Words that are looked up at a time; every look-up hashes the vocabulary of the part.
+LOOKED_UP = 500_000
+# Spark goes over the empty lists at the end of a batch once more with every row that it adds, so batches that have such lists stay short.
+SHORT = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -121,22 +125,31 @@ def _part(dim: int, seed: int, rates: tuple[float, float], passed: list[str]) ->
     """The training of one part, whose rows come in any order; the vectors ``passed`` go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, words, part = [], [], 0
+        texts, held, words, part = [], [], [], 0
+
+        def encode() -> None:
+            flats, sizes = zip(*held, strict=True)
+            texts.append((pa.concat_arrays(flats).dictionary_encode(), np.concatenate(sizes)))
+            held.clear()
+
         for batch in batches:
             known = pc.is_valid(batch.column("word"))
             some = pc.sum(known).as_py() or 0
             if some < len(batch):
-                flat, sizes = _words(batch.filter(pc.invert(known)))
-                texts.append((flat.dictionary_encode(), sizes))
+                held.append(_words(batch.filter(pc.invert(known))))
+                if sum(len(flat) for flat, _ in held) >= LOOKED_UP:
+                    encode()
             if some:
                 part = batch.column("part")[0].as_py()
-                words.append(batch.filter(known).select(["word", "hash", "vector", "out"]))
+                words.append(batch.filter(known).select([c for c in ("word", "hash", "vector", "out") if c in batch.schema.names]))
+        if held:
+            encode()
         if not words:
             return
         known = pa.Table.from_batches(words).combine_chunks()
         del words
         names = known.column("word").combine_chunks()
-        if known.column("vector").null_count:
+        if "vector" not in known.column_names:
             vector = _first_vectors(known.column("hash").to_numpy(), dim)
             out = np.zeros_like(vector)
         else:
@@ -219,23 +232,24 @@ def vectors_fit(
     listed = cut_lineage(uses.join(kept, "word", "left_semi").select("part", "word"), "listed")
     drop_written(uses)
 
-    # A row is a sentence of a part (``word`` is null), or a word of it with the vectors that it starts from.
-    none = F.lit(None).cast("array<float>")
+    # A row is a sentence of a part (``word`` is null), or a word of it, with the vectors that it starts from after the first round.
     # The words of a sentence move as one text, with the bytes of each.
     joined = (F.array_join("words", "").alias("text"), F.transform("words", F.octet_length).alias("sizes"))
-    texts = dealt.select("part", *joined, F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("hash"), none.alias("vector"), none.alias("out"))
+    texts = dealt.select("part", *joined, F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("hash"))
     state = None
     for turn in range(max_iter):
-        words = listed.select("part", "word", none.alias("vector"), none.alias("out")) if state is None else listed.join(state, "word")
-        words = words.select("part", F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<int>").alias("sizes"), "word", F.xxhash64("word", F.lit(seed)).alias("hash"), "vector", "out")
+        words = listed if state is None else listed.join(state, "word")
+        wordy = (F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<int>").alias("sizes"))
+        words = words.select("part", *wordy, "word", F.xxhash64("word", F.lit(seed)).alias("hash"), *(state.columns[1:] if state else []))
         rates = tuple(max(RATE * (1 - done / max_iter), RATE * 1e-4) for done in (turn, turn + 1))
         # Only a further round needs the second vectors.
         passed = ["vector", "out"] if turn + 1 < max_iter else ["vector"]
         moved = ", ".join(f"{name} array<float>" for name in passed)
-        rows = texts.unionByName(words).repartitionById(parts, "part")
+        rows = texts.unionByName(words, allowMissingColumns=True).repartitionById(parts, "part")
         trained = rows.mapInArrow(_part(dim, seed + turn, rates, passed), f"word string, n long, {moved}")
         merged = trained.repartition(2 * parts, "word").mapInArrow(_mean(dim, passed), f"word string, {moved}")
-        before, state = state, cut_lineage(merged, "vectors")
+        with settings(df.sparkSession, SHORT):
+            before, state = state, cut_lineage(merged, "vectors")
         if before is not None:
             drop_written(before)
     drop_written(listed)

@@ -98,3 +98,38 @@ def test_registered_fits_keep_no_model_on_the_driver(spark, tables, monkeypatch)
     again = queries_topics.word2vec_roundtrip(spark, tables)
     assert fitted.filter("trained").count() == again.filter("trained").count() == fitted.count() > 100
     assert fitted.join(again, "word", "left_anti").count() == 0
+
+
+def test_rows_of_a_part_are_cheap_to_pass(spark, monkeypatch):
+    """Empty lists cost Spark a pass over the batch per row: first vectors are no columns, and batches are short."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, write = spark.conf.get(name), skipgram.cut_lineage
+
+    def cut(df, table, **options):
+        if table == "vectors":
+            inputs = df._jdf.queryExecution().analyzed().toString().split("MapInArrow")[-1].splitlines()[0]
+            seen.append((spark.conf.get(name), "vector" in inputs.split("[")[0]))
+        return write(df, table, **options)
+
+    monkeypatch.setattr(skipgram, "cut_lineage", cut)
+    texts = spark.createDataFrame(themed(300), "words array<string>")
+    assert skipgram.vectors_fit(texts, dim=8, max_iter=2).count() == THEMES * WORDS + 1
+    assert seen == [("500", False), ("500", True)] and spark.conf.get(name) == before
+
+
+def test_words_are_looked_up_over_batches():
+    """Sentences of several short batches, and the words of the part between them, train as those of one batch."""
+
+    def rows(sentences, names):
+        words = [None] * len(sentences) + names
+        sizes = [[len(w) for w in s] for s in sentences] + [None] * len(names)
+        columns = {"part": [0] * len(words), "text": ["".join(s) for s in sentences] + [None] * len(names), "sizes": pa.array(sizes, pa.list_(pa.int32()))}
+        columns |= {"word": pa.array(words, pa.string()), "hash": pa.array([None] * len(sentences) + [hash(w) % 2**31 for w in names], pa.int64())}
+        return pa.RecordBatch.from_pydict(columns)
+
+    sentences = [list("abcab"), list("cabde"), list("edc"), list("aabb")] * 30
+    split = [rows(sentences[:50], ["c"]), rows(sentences[50:51], []), rows(sentences[51:], ["a", "b", "d"])]
+    whole = [rows([], ["c", "a", "b", "d"]), rows(sentences, [])]
+    run = skipgram._part(8, 1, (0.025, 0.0), ["vector"])
+    first, second = ({r["word"]: (r["n"], r["vector"]) for b in run(iter(batches)) for r in b.to_pylist()} for batches in (split, whole))
+    assert first == second and first["a"][0] == 150 and len(first) == 4
